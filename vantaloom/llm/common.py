@@ -91,7 +91,7 @@ def sum_sketches(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], No
         if mine.any():
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "data": [zlib.compress(mine[i * step : (i + 1) * step].tobytes(), 1) for i in range(slices)]})
 
-    def total(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(step, np.int64)
         for b in batches:
             for x in b["data"]:

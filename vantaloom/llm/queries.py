@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_format_chats
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import op4_mix_sources
+from .packing import op2_pack_sequences
+from .token_files import op5_token_files
 
 
 def queries():
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_mix_sources": op4_mix_sources}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_pack_sequences": op2_pack_sequences,
+        "op4_mix_sources": op4_mix_sources,
+        "op5_token_files": op5_token_files,
+        "op6_format_chats": op6_format_chats,
+    }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_format_chats": OP6_SQL}
