@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .chat import OP6_SQL, op6_format_chats
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .fingerprints import op3_fingerprints
+from .language_id import op9_language_id
 from .mixing import op4_mix_sources
 from .packing import op2_pack_sequences
 from .token_files import op5_token_files
@@ -13,9 +15,11 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_pack_sequences": op2_pack_sequences,
+        "op3_fingerprints": op3_fingerprints,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_files": op5_token_files,
         "op6_format_chats": op6_format_chats,
+        "op9_language_id": op9_language_id,
     }
 
 
