@@ -6,6 +6,7 @@ from .chat import OP6_SQL, op6_format_chats
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
+from .line_dedup import op10_line_dedup
 from .mixing import op4_mix_sources
 from .packing import op2_pack_sequences
 from .token_files import op5_token_files
@@ -20,6 +21,7 @@ def queries():
         "op5_token_files": op5_token_files,
         "op6_format_chats": op6_format_chats,
         "op9_language_id": op9_language_id,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
