@@ -91,15 +91,21 @@ def sum_sketches(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], No
         if mine.any():
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "data": [zlib.compress(mine[i * step : (i + 1) * step].tobytes(), 1) for i in range(slices)]})
 
+    return sum_slices(df.mapInArrow(local, "slice int, data binary"), size, np.int64)
+
+
+def sum_slices(df: DataFrame, size: int, kind) -> np.ndarray:
+    """Add up tasks' compressed slices (slice, data) of `size` counters, by slice; the sum reaches the driver."""
+
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(step, np.int64)
+        out: np.ndarray | int = 0
         for b in batches:
             for x in b["data"]:
-                out += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "data": [zlib.compress(out.tobytes(), 1)]})
+                out = out + np.frombuffer(zlib.decompress(x.as_py()), kind).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "data": [zlib.compress(np.asarray(out).tobytes(), 1)]})
 
-    summed = df.mapInArrow(local, "slice int, data binary").groupBy("slice").applyInArrow(total, "slice int, data binary")
     out = np.zeros(size, np.int64)
-    for r in summed.collect():
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r["data"]), np.int64)
+    for r in df.groupBy("slice").applyInArrow(total, "slice int, data binary").collect():
+        part = np.frombuffer(zlib.decompress(r["data"]), np.int64)
+        out[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
     return out

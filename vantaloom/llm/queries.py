@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP6_SQL, op6_format_chats
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op3_fingerprints
+from .jaccard_join import op8_ngram_jaccard
 from .language_id import op9_language_id
 from .line_dedup import op10_line_dedup
 from .mixing import op4_mix_sources
@@ -20,6 +21,7 @@ def queries():
         "op4_mix_sources": op4_mix_sources,
         "op5_token_files": op5_token_files,
         "op6_format_chats": op6_format_chats,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
     }
