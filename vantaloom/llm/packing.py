@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_last, materialise, partitions, real_id, text_or_empty
+from .common import id_or_last, real_id, text_or_empty
 from .tokens import encoder, tokenizer_path
 
 #: Characters of text in a group, on average: one group is packed in one task's memory.
@@ -140,19 +140,11 @@ def pack(df: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int =
     return out.withColumn("doc_id", real_id("doc_id"))
 
 
-def numbered(pieces: DataFrame, name: str = "packed") -> DataFrame:
-    """Give the sequences of all groups one gapless numbering, `sequence_id`.
-
-    One row per group enters the running sum: a few hundred bytes for every few GB of text."""
-    from pyspark.sql import Window
-
-    pieces = materialise(pieces, name)
-    sizes = pieces.groupBy("group").agg((F.max("sequence") + 1).alias("n"))
-    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return pieces.join(bases, "group").withColumn("sequence_id", F.col("base") + F.col("sequence")).drop("base")
+def with_sequence_ids(pieces: DataFrame) -> DataFrame:
+    """One number for group and sequence, `sequence_id`; numbers are unique, with gaps between groups."""
+    return pieces.withColumn("sequence_id", F.shiftleft(F.col("group"), 32) + F.col("sequence"))
 
 
 def op2_pack_sequences(spark, sf_dir):
-    out = numbered(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"), with_tokens=False))
+    out = with_sequence_ids(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"), with_tokens=False))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

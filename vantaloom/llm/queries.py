@@ -10,6 +10,7 @@ from .language_id import op9_language_id
 from .line_dedup import op10_line_dedup
 from .mixing import op4_mix_sources
 from .packing import op2_pack_sequences
+from .quality import op7_quality
 from .token_files import op5_token_files
 
 
@@ -21,6 +22,7 @@ def queries():
         "op4_mix_sources": op4_mix_sources,
         "op5_token_files": op5_token_files,
         "op6_format_chats": op6_format_chats,
+        "op7_quality": op7_quality,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
