@@ -105,7 +105,7 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
 
 def word_scores(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.ndarray:
     """Log probability of each word under each language, over all its segmentations."""
-    out = np.zeros((len(words), prob.shape[1] - 0))
+    out = np.zeros((len(words), prob.shape[1]))
     padded = np.vstack([prob, np.zeros((1, prob.shape[1]))])
     for n, places in _by_length(words).items():
         chunk = max(64, 400_000 // n)
@@ -156,7 +156,7 @@ class Model:
         """Language and posterior of each text; `und` and 0 for a null text and one without letters."""
         if "lattice" not in self.__dict__:
             self.lattice, self.known, self.old, self.table = Lattice(self.pieces), {}, {}, []
-        docs = [t.lower().split() if t and _LETTER.search(t) else [] for t in texts]
+        docs = [t.lower().split() if self.languages and t and _LETTER.search(t) else [] for t in texts]
         fresh = list({w for d in docs for w in d} - self.known.keys())
         if len(self.known) + len(fresh) > CACHE and self.known:
             self.known, self.table = {}, []
@@ -167,7 +167,7 @@ class Model:
             self.table = [np.concatenate(self.table)]
         languages, best = [], []
         for d in docs:
-            if not d or not self.languages:
+            if not d:
                 languages.append("und")
                 best.append(0.0)
                 continue
