@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import id_or_last, materialise, real_id, text_or_empty
 
 #: Labelled documents the document classifier is fitted on, at most (chosen by a hash of the id).
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 5000
 #: A word enters the lexicon if it is in so many sample documents and its log odds are so many standard errors from 0.
 LEXICON_DOCS, LEXICON_Z = 5, 5.0
 #: Weight of a document's own probability as soft evidence about its site, where it has no label.
@@ -99,13 +100,16 @@ class Evidence:
 
     def __init__(self, texts: list[str], y: np.ndarray):
         self.base = float((y.sum() + 1) / (len(y) + 2))
-        words = [_WORD.findall(t) for t in texts]
-        sets = [{w.lower() for w in own} for own in words]
-        shapes = np.array([shape(t, w) for t, w in zip(texts, words)]).reshape(len(texts), -1)
+        sets, shapes = [], []
+        for t in texts:  # one text's words at a time; a word that many texts hold is held once
+            words = _WORD.findall(t)
+            shapes.append(shape(t, words))
+            sets.append({sys.intern(w.lower()) for w in words})
         self.lex = lexicon(sets, y)
         if len(texts) < 20 or y.all() or not y.any():
             self.w = None
             return
+        shapes = np.array(shapes)
         # lexicon features of each half come from the other half's lexicon
         half = np.arange(len(texts)) % 2
         lexes = [lexicon([s for s, h in zip(sets, half) if h != k], y[half != k]) for k in (0, 1)]
@@ -158,7 +162,7 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def _strength(rate: Column, n: Column, mean: Column, level: list[str]) -> Column:
+def _strength(rate: Column, n: Column, mean: Column) -> Column:
     """Pseudo-counts of a prior, by moments: how little groups' rates differ beyond what their sizes explain."""
     spread = F.sum(n * F.pow(rate - mean, 2)) / F.sum(n)
     noise = F.sum(mean * (1 - mean)) / F.sum(n)  # expected spread if all groups had the same rate
@@ -180,10 +184,10 @@ def posteriors(scored: DataFrame, target: str) -> DataFrame:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = hosts.agg((F.sum("k") / F.sum("n")).alias("mu"))
     hosts = hosts.crossJoin(F.broadcast(whole))
-    over_hosts = hosts.agg(_strength(F.col("k") / F.col("n"), F.col("n"), F.col("mu"), []).alias("s"))
+    over_hosts = hosts.agg(_strength(F.col("k") / F.col("n"), F.col("n"), F.col("mu")).alias("s"))
     hosts = hosts.crossJoin(F.broadcast(over_hosts)).select("host", ((F.col("k") + F.col("s") * F.col("mu")) / (F.col("n") + F.col("s"))).alias("host_rate"))
     paths = paths.join(hosts, "host")
-    over_paths = paths.agg(_strength(F.col("k") / F.col("n"), F.col("n"), F.col("host_rate"), ["host"]).alias("s"))
+    over_paths = paths.agg(_strength(F.col("k") / F.col("n"), F.col("n"), F.col("host_rate")).alias("s"))
     return paths.crossJoin(F.broadcast(over_paths)).select("host", "path", F.col("n").alias(f"{target}_n"), ((F.col("k") + F.col("s") * F.col("host_rate")) / (F.col("n") + F.col("s"))).alias(f"{target}_prior"))
 
 
