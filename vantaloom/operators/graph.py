@@ -306,8 +306,8 @@ def read_edge_list(spark, path: str, kind: str = "metis") -> DataFrame:
     if kind == "dot":
         got = lines.select(F.regexp_extract("value", r"(\d+)\s*-[->]\s*(\d+)", 1).alias("a"), F.regexp_extract("value", r"(\d+)\s*-[->]\s*(\d+)", 2).alias("b")).filter("a <> ''")
         return got.select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"))
-    whole = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).filter("at > 0")
-    return whole.select(F.col("at").cast("long").alias("src"), F.explode(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")).cast("long").alias("dst"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).filter("at > 0")
+    return whole.select(F.col("at").cast("long").alias("src"), F.explode(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")).alias("dst")).withColumn("dst", F.col("dst").cast("long"))
 
 
 def write_dot(edges: DataFrame, path: str) -> None:

@@ -150,7 +150,7 @@ def clean_path(path: Column) -> Column:
 
 def split_file_list(paths: Column) -> Column:
     """A comma-separated list as an array, without empty names."""
-    return F.filter(F.transform(F.split(paths, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(paths, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def import_images(spark: SparkSession, path: str) -> DataFrame:
