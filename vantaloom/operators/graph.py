@@ -175,17 +175,28 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def minimum_spanning_tree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (src, dst, weight) of a minimum spanning forest (V10), by Boruvka rounds; ties by ends."""
-    edges = cut_lineage(edges.select("src", "dst", "weight"))
-    labels, tree = cut_lineage(vertices.select("id", F.col("id").alias("component"))), None
-    while True:
-        e = edges.join(labels.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").filter("a <> b")
-        ends = e.select(F.explode(F.array("a", "b")).alias("c"), F.struct("weight", "src", "dst").alias("e"))
-        best = cut_lineage(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.weight").distinct())
-        if best.isEmpty():
-            return tree if tree is not None else edges.limit(0)
-        tree = best if tree is None else tree.unionByName(best)
-        labels = connected_components(vertices, tree)
+    """Edges (src, dst, weight) of a minimum spanning forest (V10), by Boruvka rounds; ties by ends.
+
+    Each component hooks on to the other end of its least edge; of two that choose the same edge the smaller is the root,
+    and pointer jumping brings every component to its root."""
+    left = cut_lineage(edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("weight", "src", "dst").alias("e")))
+    tree = None
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("to")), F.struct(F.col("b").alias("c"), F.col("a").alias("to")))).alias("x"), "e").select("x.c", "x.to", "e")
+        best = cut_lineage(ends.groupBy("c").agg(F.min_by("to", "e").alias("to"), F.min("e").alias("e")))
+        chosen = best.select("e.src", "e.dst", "e.weight").distinct()
+        tree = cut_lineage(chosen if tree is None else tree.unionByName(chosen))
+        back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        hooks = best.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
+        while True:
+            hooks = cut_lineage(hooks.join(hooks.select(F.col("c").alias("to"), F.col("to").alias("far")), "to").select("c", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            if hooks.filter("moved").isEmpty():
+                break
+            hooks = hooks.drop("moved")
+        root = hooks.select("c", "to")
+        left = left.join(root.select(F.col("c").alias("a"), F.col("to").alias("ra")), "a").join(root.select(F.col("c").alias("b"), F.col("to").alias("rb")), "b")
+        left = cut_lineage(left.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "e"))
+    return tree if tree is not None else edges.limit(0).select("src", "dst", "weight")
 
 
 def per_component(vertices: DataFrame, edges: DataFrame, solve: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
