@@ -30,6 +30,8 @@ _AHEAD = 4  # words of a lane that a decoder holds
 _REFRESH = 8  # steps between two refreshes of the order-0 sums
 _MIN = 1024  # least share of the order-0 predictions, in 1 / 2**16
 
+_SURER = np.minimum(np.arange(_CONFIDENT + 1) + 1, _CONFIDENT).astype(np.int8)
+
 
 def lanes_for(n: int) -> int:
     return max(1, min(4096, n // 64))
@@ -52,6 +54,7 @@ class _Model:
         self.a = np.zeros(lanes, np.int64)
         self.b = np.zeros(lanes, np.int64)
         self.step = 0
+        self.late: list[tuple] = []
         self.share()
         self.refresh()
 
@@ -78,17 +81,20 @@ class _Model:
         n = len(ids)
         b = self.b[:n].copy()
         right2, right1 = self.guess2 == ids, self.guess1 == ids
-        size = len(self.seen)
-        self.seen += np.bincount(self.context, minlength=size)
-        self.held2 += np.bincount(self.context[right2], minlength=size)
-        self.held1 += np.bincount(self.context[right1 & ~right2], minlength=size)
         for at, right, following, sure in ((self.at2, right2, self.next2, self.sure2), (b, right1, self.next1, self.sure1)):
             following[at] = ids
-            sure[at] = np.where(right, np.minimum(sure[at] + 1, _CONFIDENT), 0)
-        self.count += np.bincount(ids, minlength=self.alphabet)
+            sure[at] = np.where(right, _SURER[sure[at]], 0)
+        self.late.append((self.context, right2, right1 & ~right2, ids))
         self.a[:n], self.b[:n] = b, ids
         self.step += 1
-        if self.step < 64 or self.step % _REFRESH == 0:
+        if self.step < 32 or self.step % _REFRESH == 0:
+            context, right2, right1, ids = map(np.concatenate, zip(*self.late))
+            self.late = []
+            size = len(self.seen)
+            self.seen += np.bincount(context, minlength=size)
+            self.held2 += np.bincount(context, weights=right2, minlength=size)
+            self.held1 += np.bincount(context, weights=right1, minlength=size)
+            self.count += np.bincount(ids, minlength=self.alphabet)
             self.share()
             self.refresh()
 
