@@ -25,16 +25,16 @@ _TOP = np.uint64(1 << 48)
 _LOW = np.uint64(1 << 32)
 _W16, _W48 = np.uint64(16), np.uint64(48)
 _CONFIDENT = 7  # largest confidence count of a prediction
-_ORDER2_BITS = 20
+_ORDER2_BITS = 18
 _AHEAD = 4  # words of a lane that a decoder holds
 _REFRESH = 8  # steps between two refreshes of the order-0 sums
 _MIN = 1024  # least share of the order-0 predictions, in 1 / 2**16
 
-_SURER = np.minimum(np.arange(_CONFIDENT + 1) + 1, _CONFIDENT).astype(np.int8)
+_SURER = np.minimum(np.arange(_CONFIDENT + 1) + 1, _CONFIDENT)
 
 
 def lanes_for(n: int) -> int:
-    return max(1, min(4096, n // 64))
+    return max(1, min(8192, n // 64))
 
 
 class _Model:
@@ -42,10 +42,9 @@ class _Model:
 
     def __init__(self, alphabet: int, lanes: int):
         self.alphabet = alphabet
-        self.next1 = np.zeros(alphabet, np.int32)
-        self.sure1 = np.zeros(alphabet, np.int8)
-        self.next2 = np.zeros(1 << _ORDER2_BITS, np.int32)
-        self.sure2 = np.zeros(1 << _ORDER2_BITS, np.int8)
+        # predictions: id * 8 + confidence
+        self.next1 = np.zeros(alphabet, np.int64)
+        self.next2 = np.zeros(1 << _ORDER2_BITS, np.int64)
         contexts = (_CONFIDENT + 1) ** 2 * 2
         self.seen = np.full(contexts, 4.0)
         self.held2 = np.full(contexts, 1.0)
@@ -60,8 +59,8 @@ class _Model:
 
     def share(self) -> None:
         top = (1 << _SCALE) - _MIN
-        self.share2 = np.maximum(1, (self.held2 / self.seen * top * 0.998)).astype(np.int64)
-        self.share1 = np.maximum(1, (self.held1 / self.seen * (top - self.share2 - 2) * 0.998)).astype(np.int64)
+        self.share2 = np.maximum(1, (self.held2 / self.seen * top * 0.998)).astype(np.uint64)
+        self.share1 = np.maximum(1, (self.held1 / self.seen * (top - 2 - self.share2.astype(np.int64)) * 0.998)).astype(np.uint64)
 
     def refresh(self) -> None:
         self.sums = np.zeros(self.alphabet + 1, np.int64)
@@ -73,17 +72,19 @@ class _Model:
         """Order-2 and order-1 guesses of the first n lanes and their shares of 2**16."""
         a, b = self.a[:n], self.b[:n]
         self.at2 = (a * 40503 ^ b * 2654435) & ((1 << _ORDER2_BITS) - 1)
-        self.guess2, self.guess1 = self.next2[self.at2], self.next1[b]
-        self.context = (self.sure2[self.at2].astype(np.int64) * (_CONFIDENT + 1) + self.sure1[b]) * 2 + (self.guess2 == self.guess1)
+        told2, told1 = self.next2[self.at2], self.next1[b]
+        self.guess2, self.guess1 = told2 >> 3, told1 >> 3
+        self.sure2, self.sure1 = told2 & _CONFIDENT, told1 & _CONFIDENT
+        self.context = self.sure2 * (2 * _CONFIDENT + 2) + self.sure1 * 2 + (self.guess2 == self.guess1)
         return self.guess2, self.guess1, self.share2[self.context], self.share1[self.context]
 
     def update(self, ids: np.ndarray) -> None:
         n = len(ids)
         b = self.b[:n].copy()
         right2, right1 = self.guess2 == ids, self.guess1 == ids
-        for at, right, following, sure in ((self.at2, right2, self.next2, self.sure2), (b, right1, self.next1, self.sure1)):
-            following[at] = ids
-            sure[at] = np.where(right, _SURER[sure[at]], 0)
+        marked = ids << 3
+        self.next2[self.at2] = marked + _SURER[self.sure2] * right2
+        self.next1[b] = marked + _SURER[self.sure1] * right1
         self.late.append((self.context, right2, right1 & ~right2, ids))
         self.a[:n], self.b[:n] = b, ids
         self.step += 1
@@ -105,6 +106,24 @@ def _dealt(n: int, lanes: int) -> tuple[int, int]:
     return steps, -(-n // steps)
 
 
+def _ready(lo, sz) -> np.ndarray:
+    """Lanes whose next word is certain; an interval that is too small and lies across a word's bound is cut there."""
+    settled = (lo ^ (lo + sz)) < _TOP
+    small = sz < _LOW
+    cut = np.flatnonzero(small & ~settled)
+    if len(cut):
+        sz[cut] = (~lo[cut] + np.uint64(1)) & (_LOW - np.uint64(1))
+    return np.flatnonzero(settled | small)
+
+
+def _narrow(lo, sz, unit, hit2, hit1, share2, share1) -> None:
+    """Take each lane's interval down to the part of its prediction: order 2 first, then order 1, then the rest."""
+    from2 = share2 * unit
+    from1 = from2 + share1 * unit
+    lo += np.where(hit2, np.uint64(0), np.where(hit1, from2, from1))
+    sz[:] = np.where(hit2, from2, np.where(hit1, from1 - from2, (unit << np.uint64(_SCALE)) - from1))
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """One block of ids (each under 2**31). No ids give a block without words."""
     ids = np.asarray(ids, np.int64)
@@ -127,12 +146,8 @@ def encode_block(ids: np.ndarray) -> bytes:
         guess2, guess1, share2, share1 = model.predict(k)
         hit2 = guess2 == x
         hit1 = (guess1 == x) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, share2, share2 + share1)).astype(np.uint64)
-        width = np.where(hit2, share2, np.where(hit1, share1, (1 << _SCALE) - share2 - share1)).astype(np.uint64)
         lo, sz = low[:k], size[:k]
-        unit = sz >> np.uint64(_SCALE)
-        lo += start * unit
-        sz[:] = width * unit
+        _narrow(lo, sz, sz >> np.uint64(_SCALE), hit2, hit1, share2, share1)
         rest = np.flatnonzero(~(hit2 | hit1))
         if len(rest):
             y = x[rest]
@@ -140,13 +155,9 @@ def encode_block(ids: np.ndarray) -> bytes:
             lo[rest] += model.sums[y].astype(np.uint64) * unit
             sz[rest] = model.freq[y].astype(np.uint64) * unit
         while True:
-            settled = (lo ^ (lo + sz)) < _TOP
-            small = sz < _LOW
-            out = settled | small
-            if not out.any():
+            at = _ready(lo, sz)
+            if not len(at):
                 break
-            sz[small & ~settled] = (~lo[small & ~settled] + np.uint64(1)) & (_LOW - np.uint64(1))
-            at = np.flatnonzero(out)
             words.append((lo[at] >> _W48).astype("<u2"))
             owners.append(at.astype(np.int16))
             lo[at] <<= _W16
@@ -196,14 +207,11 @@ def decode_block(block: bytes) -> np.ndarray:
             guess2, guess1, share2, share1 = model.predict(k)
             lo, sz, cd = low[:k], size[:k], code[:k]
             unit = sz >> np.uint64(_SCALE)
-            value = ((cd - lo) // unit).astype(np.int64)
-            hit2 = value < share2
-            hit1 = ~hit2 & (value < share2 + share1)
-            start = np.where(hit2, 0, np.where(hit1, share2, share2 + share1)).astype(np.uint64)
-            width = np.where(hit2, share2, np.where(hit1, share1, (1 << _SCALE) - share2 - share1)).astype(np.uint64)
-            lo += start * unit
-            sz[:] = width * unit
-            x = np.where(hit2, guess2, guess1).astype(np.int64)
+            value = cd - lo
+            hit2 = value < share2 * unit
+            hit1 = (value < (share2 + share1) * unit) & ~hit2
+            _narrow(lo, sz, unit, hit2, hit1, share2, share1)
+            x = np.where(hit2, guess2, guess1)
             rest = np.flatnonzero(~(hit2 | hit1))
             if len(rest):
                 unit = sz[rest] // model.total
@@ -212,13 +220,9 @@ def decode_block(block: bytes) -> np.ndarray:
                 sz[rest] = model.freq[y].astype(np.uint64) * unit
                 x[rest] = y
             while True:
-                settled = (lo ^ (lo + sz)) < _TOP
-                small = sz < _LOW
-                out = settled | small
-                if not out.any():
+                at = _ready(lo, sz)
+                if not len(at):
                     break
-                sz[small & ~settled] = (~lo[small & ~settled] + np.uint64(1)) & (_LOW - np.uint64(1))
-                at = np.flatnonzero(out)
                 lo[at] <<= _W16
                 sz[at] <<= _W16
                 cd[at] = (cd[at] << _W16) | stream[at_word : at_word + len(at)]

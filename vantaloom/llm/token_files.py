@@ -15,7 +15,7 @@ from .common import id_or_last, partitions, real_id, table_path, text_or_empty
 from .tokens import encoder, tokenizer_path
 
 #: Ids of a block, unless a single document has more.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 22
 _BLOCKS = "part int, block int, ids_before long, doc_ids array<long>, n_tokens array<long>, data binary"
 
 
