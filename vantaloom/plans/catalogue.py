@@ -14,6 +14,7 @@ from vantaloom.functions import vectors as V
 from vantaloom.operators import candidates as C
 from vantaloom.operators import evaluate as E
 from vantaloom.operators import graph as GR
+from vantaloom.operators import matching as M
 from vantaloom.operators import neighbours as N
 from vantaloom.operators import relational as R
 from vantaloom.operators import retrieval as RT
@@ -626,3 +627,44 @@ def content_digest(s, d):
 @query("SELECT page_id, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '') AS path FROM pages")
 def clean_paths(s, d):
     return _t(s, d, "pages").select("page_id", T.clean_path(F.col("url")).alias("path"))
+
+
+# --- more graph and table queries ------------------------------------------------------------------
+
+_RINGS = "e AS (SELECT n_nationkey::BIGINT AS src, (n_nationkey - n_nationkey % 5 + (n_nationkey + 1) % 5)::BIGINT AS dst FROM nation UNION ALL SELECT n_nationkey::BIGINT, (n_nationkey + 5)::BIGINT FROM nation WHERE n_nationkey < 20)"
+
+
+@query(
+    f"""WITH RECURSIVE {_RINGS}, r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
+SELECT n_nationkey::BIGINT AS id, least(n_nationkey, min(a.dst))::BIGINT AS component FROM nation JOIN r a ON a.src = n_nationkey JOIN r b ON b.src = a.dst AND b.dst = a.src GROUP BY 1, n_nationkey"""
+)
+def strong_components(s, d):
+    k = F.col("n_nationkey").cast("long")
+    n = _t(s, d, "nation")
+    e = n.select(k.alias("src"), (k - k % 5 + (k + 1) % 5).alias("dst")).unionByName(n.filter("n_nationkey < 20").select(k.alias("src"), (k + 5).alias("dst")))
+    return GR.strong_components(n.select(k.alias("id")), e)
+
+
+@query(
+    f"""WITH {_GRAPH}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)
+SELECT x.src AS v0, x.dst AS v1, y.dst AS v2 FROM b x JOIN b y ON y.src = x.dst JOIN b z ON z.src = y.dst AND z.dst = x.src"""
+)
+def subgraph_triangles(s, d):
+    return M.subgraph_matches(_edges(s, d), [(0, 1), (1, 2), (2, 0)]).select("v0", "v1", "v2")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def missing_results(s, d):
+    done = _t(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return T.missing_results(_t(s, d, "customer").select("c_custkey", "c_mktsegment"), done, ["c_custkey"])
+
+
+@query(
+    """SELECT o_orderkey, CAST(greatest(o_orderdate, TIMESTAMP '1996-01-01') AS VARCHAR) AS first, CAST(least(o_orderdate + INTERVAL 30 DAY, TIMESTAMP '1997-01-01') AS VARCHAR) AS until
+FROM orders WHERE greatest(o_orderdate, TIMESTAMP '1996-01-01') < least(o_orderdate + INTERVAL 30 DAY, TIMESTAMP '1997-01-01')"""
+)
+def period_overlap(s, d):
+    start, end = F.lit("1996-01-01").cast("timestamp"), F.lit("1997-01-01").cast("timestamp")
+    day = F.col("o_orderdate").cast("timestamp")
+    out = _t(s, d, "orders").select("o_orderkey", Q.period_overlap(day, day + F.expr("INTERVAL 30 DAYS"), start, end).alias("p")).filter("p IS NOT NULL")
+    return out.select("o_orderkey", F.date_format("p.start", "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format("p.end", "yyyy-MM-dd HH:mm:ss").alias("until"))
