@@ -103,7 +103,8 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block: int = 16,
     missing from `weights` get the smallest given weight. Null ids and repeated rows are mixed like
     any row; ties in the hash go by id. An empty table gives no rows. Only ids and sources are
     shuffled, and a source's rows are numbered through range partitions, so one source may hold
-    any share of the rows. The driver sees one count per source."""
+    any share of the rows. The driver sees one count per source and makes a table of up to SLOTS slots for
+    each phase, so this is for mixes of up to some hundred sources, as data mixes have."""
     spark = df.sparkSession
     rows = df.select(id_or_last(id_col).alias("id"), F.col(source_col).cast("string").alias("real"))
     rows = rows.select("id", "real", F.coalesce(F.concat(F.lit("="), "real"), F.lit("-")).alias("source"))
