@@ -359,6 +359,27 @@ def test_line_dedup(spark, docs, empty):
     assert out.count() == len(TEXTS) and out.columns == [*docs.columns, "n_lines", "removed_lines"]
 
 
+def brute_shared(a, b, size, min_words):
+    """Places of b in a run of min_words words or more that a holds too."""
+    runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    out = set()
+    for i in range(len(b)):
+        for j in range(i + 1, len(b) + 1):
+            if sum(size[x] for x in b[i:j]) >= min_words and tuple(b[i:j]) in runs:
+                out |= set(range(i, j))
+    return out
+
+
+def test_common_blocks_with_repeats_and_crossings():
+    cases = [([1, 2], [3, 1, 4, 1, 5]), ([1, 2, 1], [3, 1, 4]), ([8, 1, 7, 2, 9], [6, 2, 5, 1, 4])]
+    r = random.Random(11)
+    cases += [tuple([r.randrange(6) for _ in range(r.randrange(14))] for _ in range(2)) for _ in range(1500)]
+    for size in (dict.fromkeys(range(10), 12), {k: 1 + k % 7 for k in range(10)}):
+        for a, b in cases:
+            got = line_dedup.common_blocks(a, b, [size[x] for x in b], 10)
+            assert {j for x, y in got for j in range(x, y)} == brute_shared(a, b, size, 10), (a, b)
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(3)
     rows, labels = [], []

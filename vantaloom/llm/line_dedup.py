@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,15 +59,51 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def least_blocks(words: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of lines that hold at least min_words words, from each line on and up to each line.
+
+    Document k holds the lines from bounds[k] to bounds[k + 1], each of one word or more. Every run of min_words or more is covered by those inside it,
+    and a run that is one of them in one document is one wherever it stands."""
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    sizes = np.diff(bounds)
+    here = np.arange(n)
+    ends = np.maximum(np.searchsorted(total, total[:-1] + min_words), here + 1)
+    starts = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, here)
+    on, up = ends <= np.repeat(bounds[1:], sizes), starts >= np.repeat(bounds[:-1], sizes)
+    both = np.unique(np.stack([np.concatenate([here[on], starts[up]]), np.concatenate([ends[on], here[up] + 1])], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Runs [from, to) of b that are aligned with a run of a and hold at least min_words words."""
-    out, run = [], []
+    """Runs [from, to) of b: all lines that lie in a run of at least min_words words that a holds as well.
+
+    The alignment finds them where no line repeats and none cross. What it leaves unaligned of the
+    lines of a is looked up in a block by block, so repeats and crossings are found too."""
+    cut, run = bytearray(len(b)), []
     for i, j in [*patience(a, b), (-2, -2)]:
         if run and (i != run[-1][0] + 1 or j != run[-1][1] + 1):
             if sum(words[k] for _, k in run) >= min_words:
-                out.append((run[0][1], run[-1][1] + 1))
+                cut[run[0][1] : run[-1][1] + 1] = b"\1" * len(run)
             run = []
         run.append((i, j))
+    inside = set(a)
+    if any(not c and h in inside for c, h in zip(cut, b)):
+        held: dict[int, set[tuple[int, ...]]] = {}
+        for x, y in zip(*(v.tolist() for v in least_blocks(np.array(words, np.int64), np.array([0, len(b)]), min_words))):
+            if all(cut[x:y]) or not all(h in inside for h in b[x:y]):
+                continue
+            if y - x not in held:
+                held[y - x] = {tuple(a[i : i + y - x]) for i in range(len(a) - (y - x) + 1)}
+            if tuple(b[x:y]) in held[y - x]:
+                cut[x:y] = b"\1" * (y - x)
+    out = []
+    for j in range(len(b)):
+        if cut[j]:
+            if out and out[-1][1] == j:
+                out[-1] = (out[-1][0], j + 1)
+            else:
+                out.append((j, j + 1))
     return out
 
 
@@ -76,8 +113,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     Lines count as equal without the white space at their ends; blank lines are no lines. A document is paired with the
     first document (smallest id) that holds any of its lines, line by line; so there are no more pairs
     than lines, however common a line is, and the rarest and the commonest lines are treated alike. Each
-    pair is aligned over the hashes of all its lines, and aligned blocks of at least min_words words are
-    deleted from the later document. A line's first holder keeps it. A text that loses all its lines becomes empty.
+    pair is aligned over the hashes of all its lines, and all blocks of at least min_words words that both hold are
+    deleted from the later document, however often they come and in whatever order. A line's first holder keeps it. A text that loses all its lines becomes empty.
 
     Null texts count as empty and come back as they were; null ids are later than all others; rows
     that repeat an id are ordered by a hash of their text, and rows that repeat both get the same
