@@ -380,6 +380,21 @@ def test_common_blocks_with_repeats_and_crossings():
             assert {j for x, y in got for j in range(x, y)} == brute_shared(a, b, size, 10), (a, b)
 
 
+def test_line_dedup_pairs_with_the_first_holder_of_a_block(spark):
+    line = {k: " ".join(f"l{k}w{i}" for i in range(1 + k % 7)) for k in range(12)}
+    own = {k: " ".join(f"l{k}w{i}" for i in range(7)) for k in range(20, 28)}  # each under 10 words, alone in documents 0 to 7
+    r = random.Random(12)
+    texts = [[k] for k in own] + [[*own], [*own]] + [[r.choice(range(12)) for _ in range(r.randrange(16))] for _ in range(120)]
+    line |= own
+    size = {k: len(t.split()) for k, t in line.items()}
+    rows = [(i, "\n".join(line[k] for k in t)) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in line_dedup.line_dedup(table(spark, rows)).collect()}
+    for d, t in enumerate(texts):
+        cut = set().union(*(brute_shared(a, t, size, 10) for a in texts[:d]))
+        assert got[d]["removed_lines"] == len(cut) and got[d]["text"] == "\n".join(line[k] for j, k in enumerate(t) if j not in cut), d
+    assert got[8]["removed_lines"] == 0 and got[9]["removed_lines"] == 8
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(3)
     rows, labels = [], []

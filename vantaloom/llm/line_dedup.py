@@ -107,12 +107,44 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return out
 
 
+def block_keys(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document number and 64-bit hash of each distinct least block of each document."""
+    starts, ends = least_blocks(words, bounds, min_words)
+    keys, sizes = np.zeros(len(starts), np.uint64), ends - starts
+    for k in range(int(sizes.max(initial=0))):
+        own = sizes > k
+        x = keys[own] * np.uint64(0x9E3779B97F4A7C15) + hashes[starts[own] + k]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        keys[own] = x ^ (x >> np.uint64(27))
+    docs = np.searchsorted(bounds, starts, side="right") - 1
+    order = np.lexsort((keys, docs))
+    docs, keys = docs[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])
+    return docs[new], keys[new]
+
+
+def _blocks(min_words: int):
+    """Rows of (id, tie, lines) become one row (id, tie, key) for each distinct least block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = b["lines"].flatten()
+            bounds = np.concatenate([[0], np.cumsum(b["lines"].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            docs, keys = block_keys(lines.field("hash").to_numpy().view(np.uint64), lines.field("words").to_numpy(), bounds, min_words)
+            at = pa.array(docs)
+            yield pa.RecordBatch.from_arrays([b["id"].take(at), b["tie"].take(at), pa.array(keys.view(np.int64))], names=["id", "tie", "key"])
+
+    return run
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of df with repeated blocks of lines cut from the text, and n_lines, removed_lines (longs).
 
     Lines count as equal without the white space at their ends; blank lines are no lines. A document is paired with the
-    first document (smallest id) that holds any of its lines, line by line; so there are no more pairs
-    than lines, however common a line is, and the rarest and the commonest lines are treated alike. Each
+    first document (smallest id) that holds any of its blocks, for each shortest run of lines with min_words words (from each
+    line on and up to each line); so there are no more pairs than twice its lines, however common a block is, the
+    rarest and the commonest blocks are treated alike, and a block that any earlier document holds is found in its first holder. Each
     pair is aligned over the hashes of all its lines, and all blocks of at least min_words words that both hold are
     deleted from the later document, however often they come and in whatever order. A line's first holder keeps it. A text that loses all its lines becomes empty.
 
@@ -130,9 +162,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     outlines = df.select(key.alias("doc"), outline(text_or_empty(text_col)).alias("lines")).dropDuplicates(["doc"])
     outlines = materialise(outlines, "outlines")
-    held = outlines.select("doc", F.explode(F.array_distinct("lines.hash")).alias("hash"))
-    firsts = held.groupBy("hash").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).filter("holders > 1").select("hash", "first")
-    pairs = held.join(firsts, "hash").filter(F.col("doc") != F.col("first")).select("first", "doc").distinct()
+    held = outlines.select("doc.id", "doc.tie", "lines").mapInArrow(_blocks(min_words), "id long, tie long, key long").select(F.struct("id", "tie").alias("doc"), "key")
+    held = materialise(held, "blocks")
+    firsts = held.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).filter("holders > 1").select("key", "first")
+    pairs = held.join(firsts, "key").filter(F.col("doc") != F.col("first")).select("first", "doc").distinct()
     pairs = pairs.join(outlines, "doc").join(outlines.select(F.col("doc").alias("first"), F.col("lines.hash").alias("before")), "first")
     pairs = pairs.select(F.col("doc.id").alias("id"), F.col("doc.tie").alias("tie"), F.col("lines.hash").alias("hash"), F.col("lines.words").alias("words"), F.col("lines.at").alias("at"), "before")
 
