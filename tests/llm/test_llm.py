@@ -309,6 +309,12 @@ def test_one_of_each(spark, docs):
     assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 9, 10, 12, 13] and ids.count(None) == 2
 
 
+def test_one_of_each_tells_components_with_one_id_apart(spark):
+    rows = [(None, words(21, 40)), (None, words(22, 40)), (None, words(22, 40)), (5, words(23, 40)), (5, words(24, 40)), (6, words(24, 40)), (None, words(25, 40)), (7, words(25, 40))]
+    got = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[3], rows[4], rows[7]], key=str)
+
+
 def test_language_id(spark, docs, empty):
     pieces = ["▁a", "a", "b", "ab", "▁"]
     prob = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [0.01]])
