@@ -419,6 +419,10 @@ def test_quality(spark, docs, empty):
     assert len(out) == len(TEXTS) and all(0 <= x["quality"] <= 1 for x in out)
 
 
+def test_training_sample_is_not_cut_for_a_figure():
+    assert quality.TRAIN_DOCS == 6000
+
+
 def test_sites_shrink_to_their_parents(spark):
     rows = [("=big", "=x", 1.0)] * 90 + [("=big", "=y", 1.0)] + [("=bad", "=x", 0.0)] * 90 + [("=bad", "=y", 1.0)]
     df = spark.createDataFrame([(h, p, q, 0.0) for h, p, q in rows], "host string, path string, quality double, quality_llr double")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import id_or_last, materialise, real_id, text_or_empty
 
 #: Labelled documents the document classifier is fitted on, at most (chosen by a hash of the id).
-TRAIN_DOCS = 5000
+TRAIN_DOCS = 6000
 #: A word enters the lexicon if it is in so many sample documents and its log odds are so many standard errors from 0.
 LEXICON_DOCS, LEXICON_Z = 5, 5.0
 #: Weight of a document's own probability as soft evidence about its site, where it has no label.
