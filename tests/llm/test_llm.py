@@ -338,6 +338,25 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, untaught).collect()} == {"und"}
 
 
+def test_long_words_are_learned_from():
+    pieces, prob = ["▁a", "a", "b", "ab", "▁"], np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.2], [0.15, 0.2], [0.05, 0.05], [0.01, 0.02]])
+    length = np.array([2, 1, 1, 2, 1, 1])
+    for w in ("▁" + "abxba" * 14, "▁" + "ab" * 1000):
+        got = language_id._expected([w, w[:-1] + "b"], np.array([[1.0, 2.0], [1.0, 0.0]]), language_id.Lattice(pieces), prob)
+        assert np.allclose((got * length[:, None]).sum(axis=0), [2 * len(w), 2 * len(w)])
+    word, want = "▁" + "ab" * 40, np.zeros(6)
+    number = {x: i for i, x in enumerate(pieces)}
+    fore, back = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+    spans = [(i, i + k, number[word[i : i + k]]) for i in range(len(word)) for k in (1, 2) if word[i : i + k] in number and i + k <= len(word)]
+    for i, j, x in sorted(spans, key=lambda s: s[1]):
+        fore[j] += fore[i] * prob[x, 0]
+    for i, j, x in sorted(spans, key=lambda s: -s[0]):
+        back[i] += back[j] * prob[x, 0]
+    for i, j, x in spans:
+        want[x] += fore[i] * prob[x, 0] * back[j] / fore[-1]
+    assert np.allclose(language_id._expected([word], np.array([[1.0]]), language_id.Lattice(pieces), prob[:, :1])[:, 0], want)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language_id.op9_language_id(spark, "/root/testdata/sf0.001").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

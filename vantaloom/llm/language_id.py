@@ -122,7 +122,8 @@ def _expected(words: list[str], counts: np.ndarray, lattice: Lattice, prob: np.n
     total = np.zeros_like(prob)
     padded = np.vstack([prob, np.zeros((1, prob.shape[1]))])
     for n, places in _by_length(words).items():
-        if n > 64:  # a stray long string would need scaled backward sums; it adds nothing to the statistics
+        if n > 64:
+            _add_long(total, n, [words[i] for i in places], counts[places], lattice, padded)
             continue
         for at in range(0, len(places), 20_000):
             own = places[at : at + 20_000]
@@ -143,6 +144,32 @@ def _expected(words: list[str], counts: np.ndarray, lattice: Lattice, prob: np.n
     return total
 
 
+def _add_long(total: np.ndarray, n: int, words: list[str], counts: np.ndarray, lattice: Lattice, padded: np.ndarray) -> None:
+    """Add the expected piece counts of words of n characters, too long for plain sums: the forward sums are logs,
+    and the backward ones, divided by them, are the probabilities that a piece starts at each place."""
+    with np.errstate(divide="ignore"):
+        logs = np.log(padded)
+    chunk = max(1, 400_000 // n)
+    for at in range(0, len(words), chunk):
+        own, weight = words[at : at + chunk], counts[at : at + chunk]
+        found = lattice.pieces(own)
+        alpha = np.zeros((n + 1, len(own), padded.shape[1]))
+        starts = alpha.copy()
+        starts[n] = 1
+        into: list[list[int]] = [[] for _ in range(n + 1)]
+        for i, length in found:
+            into[i + length].append(length)
+        for j in range(1, n + 1):
+            alpha[j] = np.logaddexp.reduce([alpha[j - x] + logs[found[j - x, x]] for x in into[j]])
+        for j in range(n, 0, -1):
+            for x in into[j]:
+                number = found[j - x, x]
+                gamma = np.exp(alpha[j - x] + logs[number] - alpha[j]) * starts[j]
+                starts[j - x] += gamma
+                real = number >= 0
+                np.add.at(total, number[real], (gamma * weight)[real])
+
+
 class Model:
     """Languages, their piece probabilities (last row: an unknown character) and log priors."""
 
