@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,6 +303,17 @@ def test_jaccard_classes(spark, docs, empty, percent, size):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(brute_components(TEXTS, size, percent), key=key)
 
 
+def test_shingle_counts_are_whole(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_SEEN", 1)
+    texts = [words(k, 30, 10**6) for k in range(4)]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([k], pa.int64()), "tie": pa.array([k], pa.int64()), "text": [t]}) for k, t in enumerate(texts)]
+    data = [x.as_py() for b in jaccard_join._describe(3)(iter(batches)) for x in b["data"] if x.is_valid]
+    assert sum(np.frombuffer(zlib.decompress(x), np.int32).sum() for x in data) == 4 * 28
+    got = jaccard_join._in_order(np.array([80_000, 70_000, 3, 3, 65_535]))
+    assert got.dtype == np.uint16 and got.tolist() == [3, 2, 0, 0, 1]
+    assert jaccard_join._in_order(np.arange(70_000)).tolist() == list(range(70_000))
+
+
 def test_one_of_each(spark, docs):
     out = jaccard_join.one_of_each(docs)
     ids = [r["doc_id"] for r in out.collect()]
