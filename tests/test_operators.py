@@ -117,6 +117,7 @@ def test_graph_algorithms(spark):
     pairs = [(0, 1), (1, 2), (0, 2), (2, 3)]
     assert list(graph.bridges(pairs)) == [(2, 3)]
     assert sorted(graph.maximal_cliques(pairs)) == [(2, 2, 3), (3, 0, 2)]
+    assert sorted(graph.clique_members([(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)])) == [([0, 1, 3],), ([0, 2, 3],)]
     assert list(graph.girth(pairs)) == [(3,)] and dict(graph.greedy_colouring(pairs)) == {0: 0, 1: 1, 2: 2, 3: 0}
     cyclic = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3)], "src long, dst long")
     assert {r["id"]: r["component"] for r in graph.strong_components(v, cyclic).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}

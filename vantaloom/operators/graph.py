@@ -211,7 +211,7 @@ def per_component(vertices: DataFrame, edges: DataFrame, solve: Callable[[list[t
         c = table["component"][0].as_py()
         rows = [(c, *r) for r in solve(sorted(zip(table["src"].to_pylist(), table["dst"].to_pylist())))]
         cols = list(zip(*rows)) or [[] for _ in names]
-        return pa.table({n: list(x) for n, x in zip(names, cols)}) if rows else pa.table({n: pa.array([], pa.int64()) for n in names})
+        return pa.table({n: list(x) for n, x in zip(names, cols)}) if rows else pa.table({n: pa.array([], pa.list_(pa.int64()) if "array" in x else pa.int64()) for n, x in zip(names, schema.split(","))})
 
     return e.groupBy("component").applyInArrow(run, schema)
 
@@ -253,14 +253,20 @@ def bridges(edges: list[tuple]) -> Iterator[tuple]:
 
 
 def maximal_cliques(edges: list[tuple]) -> Iterator[tuple]:
-    """(size, smallest member, largest member) of each maximal clique (V6), by Bron and Kerbosch with pivots."""
+    """(size, smallest member, largest member) of each maximal clique (V6)."""
+    for (members,) in clique_members(edges):
+        yield (len(members), members[0], members[-1])
+
+
+def clique_members(edges: list[tuple]) -> Iterator[tuple]:
+    """(sorted members,) of each maximal clique (V6), by Bron and Kerbosch with pivots."""
     near = _adjacent(edges)
     stack = [(set(), set(near), set())]
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
             if r:
-                yield (len(r), min(r), max(r))
+                yield (sorted(r),)
             continue
         pivot = max(p | x, key=lambda v: (len(near[v] & p), -v))
         for v in sorted(p - near[pivot]):

@@ -418,7 +418,8 @@ def minimum_spanning_tree(s, d):
 @query()
 def maximal_cliques(s, d):
     v = _t(s, d, "embeddings").select(F.col("vec_id").alias("id"))
-    return GR.per_component(v, _edges(s, d), GR.maximal_cliques, "component long, size long, first long, last long")
+    out = GR.per_component(v, _edges(s, d), GR.clique_members, "component long, members array<long>")
+    return out.select("component", F.size("members").cast("long").alias("size"), F.array_min("members").alias("first"), F.array_max("members").alias("last"), "members")
 
 
 @query()
