@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_last, real_id, text_or_empty
+from .common import text_or_empty
 from .tokens import encoder, tokenizer_path
 
-#: Characters of text in a group, on average: one group is packed in one task's memory.
+#: Characters of text in a group, on average: one group is packed in one task's memory. A group has under 2**20 sequences.
 GROUP_CHARS = 8_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group long, sequence long, offset long, tokens binary"
 
@@ -59,9 +59,10 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int,
 
     Full sequences are cut off each document's front; first-fit decreasing packs the rests; then the
     emptiest sequences are taken apart, and cut where that fills another to the brim, as long as the
-    others have room for all of them. One sequence of a group at most is left with room."""
-    pieces, rests = [], []
-    sequence = 0
+    others have room for all of them. One sequence of a group at most is left with room. Sequences are numbered by
+    the first document that has a piece in them, so they follow the order of the documents."""
+    pieces: list[tuple[int, int, int, int, int]] = []
+    rests, sequence = [], 0
     for doc, n in enumerate(lengths):
         for start in range(0, n - capacity + 1, capacity):
             pieces.append((doc, start, capacity, sequence, 0))
@@ -91,58 +92,68 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int,
             pieces.append((doc, start, n, sequence, offset))
             offset += n
         sequence += 1
-    return pieces
+    first: dict[int, tuple[int, int]] = {}
+    for doc, start, _, b, _ in pieces:
+        first[b] = min(first.get(b, (doc, start)), (doc, start))
+    number = {b: i for i, b in enumerate(sorted(first, key=first.__getitem__))}
+    return [(doc, start, n, number[b], offset) for doc, start, n, b, offset in pieces]
 
 
-def pack(df: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", seed: int = 29, group_chars: int = GROUP_CHARS, with_tokens: bool = True) -> DataFrame:
+def pack(df: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", seed: int = 29, group_chars: int = GROUP_CHARS, with_tokens: bool = True, place: tuple[Column, Column] | None = None) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids_crc32, doc_tokens, group, sequence, offset, tokens.
 
     A document is its ids and `end_id`; a null or empty text is its end id alone. Documents fall into
     groups by a seeded hash of id and text, about `group_chars` characters to a group (counted over
     the whole table), so that no source, key or id holds a group by itself; rows that repeat both id and text
-    lie in one group. Each group is packed in a task of its own by pack_lengths; sequences of
+    lie in one group. If the table is in a (random) order that is to last, `place` says where a row stands: the number of a part and the
+    row's number there. Groups are then neighbouring rows of a part, and groups and sequences are numbered in that
+    order. Each group is packed in a task of its own by pack_lengths; sequences of
     different groups are numbered apart. Every id lies in one piece; null ids stay null; an empty
-    table gives no rows; other columns are ignored. `tokens` are little-endian unsigned 32-bit ids
-    (null if with_tokens is false)."""
-    spark = df.sparkSession
-    docs = df.select(id_or_last(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    chars = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    groups = max(1, -(-chars // group_chars))
-    group = F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(groups))
+    table gives no rows; other columns are ignored. A text of any length is cut into full sequences, in one task's
+    memory. `tokens` are little-endian unsigned 32-bit ids (null if with_tokens is false)."""
+    part, row = place or (F.lit(0), F.lit(0))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), part.cast("long").alias("part"), row.cast("long").alias("row"))
+    chars, rows = docs.agg(F.sum(F.length("text") + 1), F.count("*")).first()
+    groups = max(1, -(-(chars or 0) // group_chars))
+    if place:
+        group = F.shiftleft("part", 24) + F.floor(F.col("row") / max(1, rows // groups)).cast("long")
+    else:
+        group = F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(groups))
 
     def one_group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_file).encode, np.uint32(end_id).astype("<u4").tobytes()
-        ids, data = [], []
+        encode_all = encoder(tokenizer_file).encode_all
+        ids, places, data = [], [], []
         for b in batches:
+            own, n = encode_all(b["text"], end_id)
             ids += b["id"].to_pylist()
-            data += [encode(t.as_py()) + end for t in b["text"]]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], data[i]))  # the same whatever the order of arrival
-        packed = pack_lengths([len(data[i]) // 4 for i in order], capacity)
+            places += b["row"].to_pylist()
+            data += np.split(own, np.cumsum(n)[:-1])
+        order = sorted(range(len(ids)), key=lambda i: (places[i], ids[i] is None, ids[i] or 0, data[i].tobytes()))  # the same whatever the order of arrival
+        packed = pack_lengths([len(data[i]) for i in order], capacity)
         for at in range(0, len(packed), 4096):
-            part = packed[at : at + 4096]
-            cut = [data[order[d]][4 * s : 4 * (s + n)] for d, s, n, _, _ in part]
+            some = packed[at : at + 4096]
+            cut = [data[order[d]][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in some]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[order[p[0]]] for p in part], pa.int64()),
-                    pa.array([p[1] for p in part], pa.int64()),
-                    pa.array([p[2] for p in part], pa.int64()),
+                    pa.array([ids[order[p[0]]] for p in some], pa.int64()),
+                    pa.array([p[1] for p in some], pa.int64()),
+                    pa.array([p[2] for p in some], pa.int64()),
                     pa.array([zlib.crc32(x) for x in cut], pa.int64()),
-                    pa.array([len(data[order[p[0]]]) // 4 for p in part], pa.int64()),
-                    pa.array([key[0].as_py()] * len(part), pa.int64()),
-                    pa.array([p[3] for p in part], pa.int64()),
-                    pa.array([p[4] for p in part], pa.int64()),
-                    pa.array(cut if with_tokens else [None] * len(part), pa.binary()),
+                    pa.array([len(data[order[p[0]]]) for p in some], pa.int64()),
+                    pa.array([key[0].as_py()] * len(some), pa.int64()),
+                    pa.array([p[3] for p in some], pa.int64()),
+                    pa.array([p[4] for p in some], pa.int64()),
+                    pa.array(cut if with_tokens else [None] * len(some), pa.binary()),
                 ],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group", "sequence", "offset", "tokens"],
             )
 
-    out = docs.withColumn("group", group).groupBy("group").applyInArrow(one_group, _PIECES)
-    return out.withColumn("doc_id", real_id("doc_id"))
+    return docs.withColumn("group", group).drop("part").groupBy("group").applyInArrow(one_group, _PIECES)
 
 
 def with_sequence_ids(pieces: DataFrame) -> DataFrame:
-    """One number for group and sequence, `sequence_id`; numbers are unique, with gaps between groups."""
-    return pieces.withColumn("sequence_id", F.shiftleft(F.col("group"), 32) + F.col("sequence"))
+    """One number for group and sequence, `sequence_id`; numbers are unique, rise with group and sequence, and have gaps between groups."""
+    return pieces.withColumn("sequence_id", F.shiftleft(F.col("group"), 20) + F.col("sequence"))
 
 
 def op2_pack_sequences(spark, sf_dir):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-_SEGMENT = 1 << 20
+_SEGMENT, _LONG = 1 << 20, 255
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _IS_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
@@ -40,7 +40,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     A to Z count as a to z.
 
     A word's hash is a polynomial of its bytes: a difference of running sums. Stretches of about
-    _SEGMENT bytes, cut at white space or between documents, bound the memory."""
+    _SEGMENT bytes, cut at white space or between documents, bound the memory. Words of over _LONG bytes are hashed by
+    themselves: for words of a thousand and more, two can be made whose polynomials are equal for any base."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     gap = _IS_SPACE[data]
@@ -65,10 +66,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         first, last = starts[at:to] - base, ends[at:to] - base
         out[at:to] = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
         at = to
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(_LOWER[data[starts[i] : ends[i]]].tobytes())
     return mix(out), np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts (no nulls) one after another, and where each begins, with the end."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -81,7 +85,7 @@ def shingle_sets(texts: pa.Array, words: int = 3) -> Iterator[np.ndarray]:
     one shingle; without words the set is empty."""
     for at in range(0, len(texts), 2000):
         part = texts.slice(at, 2000)
-        hashes, docs = word_hashes(*_raw(part))
+        hashes, docs = word_hashes(*raw_bytes(part))
         n = len(hashes)
         joined = mix(hashes + np.uint64(1))
         for k in range(1, words):
