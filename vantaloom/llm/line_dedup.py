@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialise, text_or_empty
+from .common import materialise, text_or_empty
 
 #: Words of an aligned common block that is deleted, at least.
 MIN_WORDS = 10
+_DOC = ["none", "id", "tie"]
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -125,7 +126,7 @@ def block_keys(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_wo
 
 
 def _blocks(min_words: int):
-    """Rows of (id, tie, lines) become one row (id, tie, key) for each distinct least block."""
+    """Rows of (none, id, tie, lines) become one row (none, id, tie, key) for each distinct least block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +134,7 @@ def _blocks(min_words: int):
             bounds = np.concatenate([[0], np.cumsum(b["lines"].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             docs, keys = block_keys(lines.field("hash").to_numpy().view(np.uint64), lines.field("words").to_numpy(), bounds, min_words)
             at = pa.array(docs)
-            yield pa.RecordBatch.from_arrays([b["id"].take(at), b["tie"].take(at), pa.array(keys.view(np.int64))], names=["id", "tie", "key"])
+            yield pa.RecordBatch.from_arrays([*[b[c].take(at) for c in _DOC], pa.array(keys.view(np.int64))], names=[*_DOC, "key"])
 
     return run
 
@@ -143,57 +144,67 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     Lines count as equal without the white space at their ends; blank lines are no lines. A document is paired with the
     first document (smallest id) that holds any of its blocks, for each shortest run of lines with min_words words (from each
-    line on and up to each line); so there are no more pairs than twice its lines, however common a block is, the
-    rarest and the commonest blocks are treated alike, and a block that any earlier document holds is found in its first holder. Each
+    line on and up to each line; a long line is one by itself); so there are no more pairs than twice its lines, however common a block is, the
+    rarest and the commonest blocks are treated alike, and a block that any earlier document holds is found in its first holder. (Single rare
+    lines would miss passages whose lines are common each.) Each
     pair is aligned over the hashes of all its lines, and all blocks of at least min_words words that both hold are
     deleted from the later document, however often they come and in whatever order. A line's first holder keeps it. A text that loses all its lines becomes empty.
 
     Null texts count as empty and come back as they were; null ids are later than all others; rows
     that repeat an id are ordered by a hash of their text, and rows that repeat both get the same
-    result and are not compared. Columns of df named n_lines or removed_lines are replaced. An empty
-    table gives no rows."""
+    result and are not compared. A text of any length is one outline, of 20 bytes a line. Columns of df may have any names; those named
+    n_lines or removed_lines are replaced. An empty table gives no rows."""
     kept = [c for c in df.columns if c not in ("n_lines", "removed_lines")]
-    df = df.select(*[F.col(f"`{c}`") for c in kept])
-    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("tie"))
+    text = text_or_empty(f"`{text_col}`")
+    doc = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("tie"))
 
     def outline(text):
         lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.trim(F.regexp_replace(x, _SPACES, " ")).alias("line"), i.alias("at")))
         return F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(F.xxhash64(x["line"]).alias("hash"), F.size(F.split(x["line"], " ")).alias("words"), x["at"].alias("at")))
 
-    outlines = df.select(key.alias("doc"), outline(text_or_empty(text_col)).alias("lines")).dropDuplicates(["doc"])
+    outlines = df.select(doc.alias("doc"), outline(text).alias("lines")).dropDuplicates(["doc"])
     outlines = materialise(outlines, "outlines")
-    held = outlines.select("doc.id", "doc.tie", "lines").mapInArrow(_blocks(min_words), "id long, tie long, key long").select(F.struct("id", "tie").alias("doc"), "key")
+    held = outlines.select("doc.*", "lines").mapInArrow(_blocks(min_words), "none boolean, id long, tie long, key long").select(F.struct(*_DOC).alias("doc"), "key")
     held = materialise(held, "blocks")
-    firsts = held.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).filter("holders > 1").select("key", "first")
-    pairs = held.join(firsts, "key").filter(F.col("doc") != F.col("first")).select("first", "doc").distinct()
+    firsts = held.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).filter("holders > 1")
+    firsts = materialise(firsts, "first-holders")
+    # blocks that many hold, 10,000 of them at most, meet their holders by broadcast and the others by a shuffle
+    many = max(1000, held.count() // 10_000)
+    common = F.broadcast(firsts.filter(F.col("holders") >= many).select("key", F.col("first").alias("common")))
+    held = held.join(common, "key", "left")
+    rare = held.filter(F.col("common").isNull()).select("doc", "key").join(firsts.filter(F.col("holders") < many).select("key", "first"), "key")
+    pairs = rare.select("first", "doc").unionByName(held.filter(F.col("common").isNotNull()).select(F.col("common").alias("first"), "doc"))
+    pairs = pairs.filter(F.col("doc") != F.col("first")).distinct()
     pairs = pairs.join(outlines, "doc").join(outlines.select(F.col("doc").alias("first"), F.col("lines.hash").alias("before")), "first")
-    pairs = pairs.select(F.col("doc.id").alias("id"), F.col("doc.tie").alias("tie"), F.col("lines.hash").alias("hash"), F.col("lines.words").alias("words"), F.col("lines.at").alias("at"), "before")
+    pairs = pairs.select(*[F.col(f"doc.{c}").alias(c) for c in _DOC], F.col("lines.hash").alias("hash"), F.col("lines.words").alias("words"), F.col("lines.at").alias("at"), "before")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ties, starts, ends = [], [], [], []
+            rows, starts, ends = [], [], []
             for i in range(b.num_rows):
                 own, words, at, before = (b[c][i].as_py() for c in ("hash", "words", "at", "before"))
                 for x, y in common_blocks(before, own, words, min_words):
-                    ids.append(b["id"][i].as_py())
-                    ties.append(b["tie"][i].as_py())
+                    rows.append(i)
                     starts.append(at[x])
                     ends.append(at[y - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id", "tie", "from_line", "to_line"])
-
-    cuts = pairs.mapInArrow(align, "id long, tie long, from_line int, to_line int")
-    cuts = cuts.groupBy("id", "tie").agg(F.collect_set(F.struct("from_line", "to_line")).alias("_cuts"))
-    cuts = cuts.select(F.struct("id", "tie").alias("_doc"), "_cuts")
-    out = df.withColumn("_doc", key).join(cuts, "_doc", "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    filled = F.filter(lines, lambda x: F.trim(F.regexp_replace(x, _SPACES, " ")) != "")
-    rest = F.filter(lines, lambda x, i: ~F.exists("_cuts", lambda c: (i >= c["from_line"]) & (i <= c["to_line"])))
-    out = out.withColumn("n_lines", F.coalesce(F.size(filled), F.lit(0)).cast("long"))
-    text = F.when(F.col("_cuts").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(rest, "\n"))
-    left = F.size(F.filter(F.split(F.col("_text"), "\n"), lambda x: F.trim(F.regexp_replace(x, _SPACES, " ")) != ""))
-    out = out.withColumn("_text", text).withColumn("removed_lines", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.col("n_lines") - left).cast("long"))
-    clean = F.when((F.col("n_lines") > 0) & (F.col("removed_lines") == F.col("n_lines")), F.lit("")).otherwise(F.col("_text"))
-    return out.select(*[(clean if c == text_col else F.col(f"`{c}`")).alias(c) for c in kept], "n_lines", "removed_lines")
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b[c].take(rows) for c in _DOC], pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[*_DOC, "from_line", "to_line"])
+
+    cuts = pairs.mapInArrow(align, "none boolean, id long, tie long, from_line int, to_line int")
+    cuts = cuts.groupBy(*_DOC).agg(F.collect_set(F.struct("from_line", "to_line")).alias("cuts")).select(F.struct(*_DOC).alias("doc"), "cuts")
+    own = F.struct(*[F.col(f"`{c}`") for c in kept])
+    out = df.select(doc.alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), own.alias("row")).join(cuts, "doc", "left")
+    lines = F.split("text", "\n")
+
+    def filled(lines):
+        return F.size(F.filter(lines, lambda x: F.trim(F.regexp_replace(x, _SPACES, " ")) != ""))
+
+    rest = F.filter(lines, lambda x, i: ~F.exists("cuts", lambda c: (i >= c["from_line"]) & (i <= c["to_line"])))
+    out = out.withColumn("n_lines", F.coalesce(filled(lines), F.lit(0)).cast("long"))
+    out = out.withColumn("left", F.when(F.col("cuts").isNotNull(), rest))
+    out = out.withColumn("removed_lines", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.col("n_lines") - filled(F.col("left"))).cast("long"))
+    clean = F.when(F.col("cuts").isNull(), F.col(f"row.`{text_col}`")).when(F.col("removed_lines") == F.col("n_lines"), F.lit("")).otherwise(F.array_join("left", "\n"))
+    return out.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in kept], "n_lines", "removed_lines")
 
 
 def op10_line_dedup(spark, sf_dir):
