@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_or_last, materialise, partitions, real_id, text_or_empty
+from .common import materialise, partitions, text_or_empty
 
 #: Characters of the normalised text that enter the sampled splitters, so that these stay short.
 PREFIX = 64
@@ -32,18 +32,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(ids, run, leader, size, sha, head, edge):
         n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(n, part, np.int32)), pa.array(run), pa.array(leader), pa.array(size), sha, pa.array(head), edge], schema=_RUNS)
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, part, np.int32)), pa.array(run), leader, pa.array(size), sha, pa.array(head), edge], schema=_RUNS)
 
     def close(last: bool):
-        own = np.concatenate(ids)
+        own = pa.concat_arrays(ids)
         n, head = len(own), np.arange(len(own)) == 0
         edge = pa.array([text if run == 0 or last else None] + [None] * (n - 1), pa.string())
-        return out(own, np.full(n, run), np.full(n, own[0]), np.full(n, n), pa.array([sha] * n, pa.string()), head, edge)
+        return out(own, np.full(n, run), own.take(pa.array(np.zeros(n, np.int64))), np.full(n, n), pa.array([sha] * n, pa.string()), head, edge)
 
     for b in batches:
         if not b.num_rows:
             continue
-        got, texts = b["id"].to_numpy(), b["norm"]
+        got, texts = b["id"], b["norm"]
         same = np.zeros(len(got), bool)
         same[1:] = pc.equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False)
         same[0] = text is not None and texts[0].as_py() == text
@@ -63,7 +63,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges[0] = run == 0
             rows = slice(int(starts[0]), int(last))
             edge = pc.if_else(pa.array(edges), texts[rows], pa.scalar(None, pa.string()))
-            yield out(got[rows], np.repeat(numbers, sizes), np.repeat(got[whole], sizes), np.repeat(sizes, sizes), b["sha"][rows], ~same[rows], edge)
+            yield out(got[rows], np.repeat(numbers, sizes), got.take(pa.array(np.repeat(whole, sizes))), np.repeat(sizes, sizes), b["sha"][rows], ~same[rows], edge)
             run += len(whole)
         ids, text, sha = [got[last:]], texts[int(last)].as_py(), b["sha"][int(last)].as_py()
     if text is not None:
@@ -78,25 +78,34 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     normalised text, its digest, id) and sorted; the digest in the middle keeps a text's rows
     adjacent although splitters hold only its start, and the id lets a text that holds a third of
     all rows lie across many partitions. Neighbours are compared in full; runs that meet at a
-    partition boundary are joined by one pass over two rows per partition. Exactly one row of a group
+    partition boundary are joined by one pass over two rows per partition, and a join of their texts where the digests are equal. Exactly one row of a group
     is kept: that of the smallest id; among rows that repeat the id, one of them. Null ids sort
     last and stay null. An empty table gives no rows; other columns are ignored."""
     spark = df.sparkSession
-    keyed = df.select(id_or_last(id_col).alias("id"), normalised(text_col).alias("norm"))
+    keyed = df.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
     keyed = keyed.select("id", "norm", F.sha2("norm", 256).alias("sha"), F.substring("norm", 1, PREFIX).alias("start"))
-    dealt = keyed.repartitionByRange(partitions(spark), "start", "sha", "id").sortWithinPartitions("start", "sha", "norm", "id")
+    order = [F.col("id").isNull(), F.col("id")]
+    dealt = keyed.repartitionByRange(partitions(spark), "start", "sha", *order).sortWithinPartitions("start", "sha", "norm", *order)
     runs = dealt.select("id", "norm", "sha").mapInArrow(_runs, "id long, part int, run long, leader long, size long, sha string, head boolean, edge string")
     runs = materialise(runs, "content-runs")
 
-    order = Window.orderBy("part", "run")
-    edges = runs.filter(F.col("edge").isNotNull()).select("part", "run", "leader", "size", (F.col("edge") == F.lag("edge").over(order)).alias("goes_on"))
-    edges = edges.withColumn("chain", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(order))
+    # two rows per partition, without their texts: runs at an edge, and the edge run before each with the same digest
+    placed = Window.orderBy("part", "run")
+    edges = runs.filter(F.col("edge").isNotNull()).select("part", "run", "leader", "size", "sha")
+    edges = edges.select("*", F.lag("part").over(placed).alias("part0"), F.lag("run").over(placed).alias("run0"), F.lag("sha").over(placed).alias("sha0"))
+    texts = runs.filter(F.col("edge").isNotNull()).select("part", "run", "edge")
+    meet = edges.filter(F.col("sha") == F.col("sha0")).select("part", "run", "part0", "run0")
+    meet = meet.join(texts, ["part", "run"]).join(texts.select(F.col("part").alias("part0"), F.col("run").alias("run0"), F.col("edge").alias("edge0")), ["part0", "run0"])
+    meet = meet.filter(F.col("edge") == F.col("edge0")).select("part", "run", F.lit(True).alias("goes_on"))
+    edges = edges.select("part", "run", "leader", "size").join(meet, ["part", "run"], "left")
+    edges = edges.withColumn("chain", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(placed))
     chain = Window.partitionBy("chain")
-    edges = edges.select("part", "run", F.min("leader").over(chain).alias("first_id"), F.sum("size").over(chain).alias("whole"), (F.row_number().over(chain.orderBy("part")) == 1).alias("opens"))
-    joined = runs.join(F.broadcast(edges), ["part", "run"], "left")  # at most two rows per partition
+    first = F.first("leader").over(chain.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    edges = edges.select("part", "run", first.alias("first_id"), F.sum("size").over(chain).alias("whole"), (F.row_number().over(chain.orderBy("part")) == 1).alias("opens"))
+    joined = runs.join(F.broadcast(edges), ["part", "run"], "left")  # at most two rows per partition, of numbers only
     return joined.select(
-        real_id("id").alias("doc_id"),
-        real_id(F.coalesce("first_id", "leader")).alias("keep_id"),
+        F.col("id").alias("doc_id"),
+        F.when(F.col("opens").isNull(), F.col("leader")).otherwise(F.col("first_id")).alias("keep_id"),
         F.coalesce("whole", "size").alias("group_size"),
         (F.col("head") & F.coalesce("opens", F.lit(True))).alias("kept"),
         F.col("sha").alias("text_sha256"),
