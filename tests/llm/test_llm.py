@@ -168,7 +168,7 @@ def test_next_document(spark, monkeypatch):
     ids = [3, 1, 4, 1_000, 59, 26, 53, 58, 97, 93, 23, 84, 62, 64, 33]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     rows, order = fingerprints.with_next(df, "doc_id", "text")
-    got = {r["key"]: r["n"] for r in rows.withColumn("n", F.lead("text").over(order)).filter(~F.col("extra")).collect()}
+    got = {r["key"]["id"]: r["n"] for r in rows.withColumn("n", F.lead("text").over(order)).filter(~F.col("extra")).collect()}
     down = sorted(ids, reverse=True)
     assert got == {a: f"t{b}" for a, b in zip(down, down[1:] + down[:1])}
 

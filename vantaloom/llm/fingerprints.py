@@ -7,7 +7,7 @@ from math import ceil, isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialise, text_or_empty
 
 #: Words of a shingle, bins, and low-order bits kept of each bin's least hash.
 WORDS, BINS, BITS = 5, 256, 4
@@ -15,7 +15,7 @@ WORDS, BINS, BITS = 5, 256, 4
 PROBES = 8
 _REST = (1 << 56) - 1  # a hash without its bin, which is its highest byte
 #: Documents of a range of ids, which one window sorts; more only where there are over MOST_RANGES ranges.
-RANGE, MOST_RANGES = 2048, 50_000
+RANGE, MOST_RANGES = 2048, 250_000
 
 
 def _signed(x: int) -> int:
@@ -82,34 +82,36 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return with_fingerprint(df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), "text", "fingerprint").drop("text")
 
 
-def _range_of(key: Column, heads: list[int]) -> Column:
-    """The number of heads (falling) that are not under key, less 1; found in two levels."""
-    step = isqrt(len(heads) - 1) + 1
-    coarse = F.array(*[F.lit(h).cast("long") for h in heads[::step]])
-    group = F.size(F.filter(coarse, lambda h: h >= key)) - 1
-    fine = F.slice(F.array(*[F.lit(h).cast("long") for h in heads]), group * step + 1, F.lit(step))
-    return group * step + F.size(F.filter(fine, lambda h: h >= key)) - 1
-
-
 def with_next(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Window]:
-    """Rows (key, text, extra, at, tie, range) in falling order of id, cut into ranges; and the window that orders a range.
+    """Rows (key, text, range, extra) in falling order of id, cut into ranges; and the window that orders a range.
 
-    Approximate quantiles are ids of the table, so each is the first of its range. Its row also goes
+    A key is (not null, id, hash of the text), so rows that share an id, or have none, spread over ranges too; rows that repeat both
+    stay together. Sampled range partitions of the keys alone give the ranges; the greatest key of each is its head. A head's row also goes
     to the end of the range before (the very first to the last range) as an `extra` row, so that
-    within a range every row's successor is at hand. Null ids come last."""
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), text_or_empty(text_col).alias("text"))
+    within a range every row's successor is at hand. Null ids come last.
+
+    A row's range is found in two levels: the plan holds the first head of each group of ranges, and a broadcast
+    table the heads in each group: three numbers a range."""
+    fields = "struct<some:boolean,id:bigint,tie:bigint>"
+    key = F.struct(F.col(id_col).isNotNull().alias("some"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("tie")).cast(fields)
+    rows = df.select(key.alias("key"), text_or_empty(text_col).alias("text"))
     n = rows.count()
     ranges = max(1, min(MOST_RANGES, ceil(n / RANGE)))
-    wanted = [i / ranges for i in range(1, ranges + 1)]
-    found = rows.agg(F.percentile_approx("key", wanted, max(10_000, 10 * ranges)), F.max("key")).first() if n else ([0], 0)
-    heads = sorted({*found[0], found[1]}, reverse=True)
-    at = _range_of(F.col("key"), heads)
-    rows = rows.withColumn("at", at).withColumn("head", F.array_contains(F.slice(F.array(*[F.lit(h).cast("long") for h in heads]), F.col("at") + 1, F.lit(1)), F.col("key")))
-    before = F.pmod(F.col("at") - 1, F.lit(len(heads)))
+    heads = rows.select("key").repartitionByRange(ranges, F.desc("key")).groupBy(F.spark_partition_id().alias("part")).agg(F.max("key").alias("head"))
+    heads = materialise(heads.withColumn("range", F.row_number().over(Window.orderBy(F.desc("head"))) - 1), "range-heads")
+    found = heads.count()
+    step = isqrt(max(found, 1)) + 1
+    groups = heads.groupBy(F.floor(F.col("range") / step).cast("int").alias("group")).agg(F.sort_array(F.collect_list("head"), asc=False).alias("heads"))
+    tops = [r["top"] for r in groups.orderBy("group").select(F.col("heads")[0].alias("top")).collect()]
+    coarse = F.array(*[F.struct(F.lit(t["some"]).alias("some"), F.lit(t["id"]).cast("long").alias("id"), F.lit(t["tie"]).cast("long").alias("tie")).cast(fields) for t in tops]).cast(f"array<{fields}>")
+    rows = rows.withColumn("group", F.size(F.filter(coarse, lambda h: h >= F.col("key"))) - 1).join(F.broadcast(groups), "group")
+    at = F.col("group") * step + F.size(F.filter("heads", lambda h: h >= F.col("key"))) - 1
+    rows = rows.select("key", "text", at.alias("at"), F.array_contains("heads", F.col("key")).alias("head"))
+    before = F.pmod(F.col("at") - 1, F.lit(max(found, 1)))
     none = F.struct(F.col("at").alias("range"), F.lit(False).alias("extra"))
     places = F.when(F.col("head"), F.array(none, F.struct(before.alias("range"), F.lit(True).alias("extra")))).otherwise(F.array(none))
-    rows = rows.select("key", "text", F.xxhash64("text").alias("tie"), F.explode(places).alias("place")).select("key", "text", "tie", "place.range", "place.extra")
-    return rows, Window.partitionBy("range").orderBy("extra", F.desc("key"), "tie")
+    rows = rows.select("key", "text", F.explode(places).alias("place")).select("key", "text", "place.range", "place.extra")
+    return rows, Window.partitionBy("range").orderBy("extra", F.desc("key"))
 
 
 def op3_fingerprints(spark, sf_dir):
@@ -117,12 +119,12 @@ def op3_fingerprints(spark, sf_dir):
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
-    rows = rows.select("range", "extra", "key", "tie", "text", edited.alias("edited"))
+    rows = rows.select("range", "extra", "key", "text", edited.alias("edited"))
     rows = with_fingerprint(with_fingerprint(rows, "text", "fingerprint"), "edited", "edited_fingerprint")
-    rows = rows.select("range", "extra", "key", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
+    rows = rows.select("range", "extra", "key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
     rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).filter(~F.col("extra"))
     return rows.select(
-        F.nullif("key", F.lit(-(2**63))).alias("doc_id"),
+        F.when(F.col("key.some"), F.col("key.id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",
