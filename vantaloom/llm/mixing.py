@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank, id_or_last, partitions, real_id
+from .common import global_rank, partitions
 
 #: Slots of one period of the schedule: the resolution of the weights.
 SLOTS = 1000
@@ -105,9 +105,15 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block: int = 16,
     shuffled, and a source's rows are numbered through range partitions, so one source may hold
     any share of the rows. The driver sees one count per source and makes a table of up to SLOTS slots for
     each phase, so this is for mixes of up to some hundred sources, as data mixes have."""
-    spark = df.sparkSession
-    rows = df.select(id_or_last(id_col).alias("id"), F.col(source_col).cast("string").alias("real"))
-    rows = rows.select("id", "real", F.coalesce(F.concat(F.lit("="), "real"), F.lit("-")).alias("source"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("real"), F.lit(0).alias("tie"))
+    out = _scheduled(rows, weights, block, seed, power)
+    return out.select(F.col("id").alias("doc_id"), F.col("real").alias("source"), "block", "slot", "place", "phase")
+
+
+def _scheduled(rows: DataFrame, weights: dict[str, float] | None, block: int, seed: int, power: float) -> DataFrame:
+    """The columns of rows (id, real, tie and any others) and block, slot, place, phase."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("source", F.coalesce(F.concat(F.lit("="), "real"), F.lit("-")))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     if weights is None:
         target = tempered(counts, power)
@@ -120,9 +126,10 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block: int = 16,
     for s in sorted(counts, key=lambda s: s.encode()):
         firsts.append((s, total))
         total += counts[s]
-    key: list[Column] = [F.col("source"), F.col("key"), F.col("id")]
-    ranked = global_rank(rows.withColumn("key", F.xxhash64("id", F.lit(seed))), key, "mix-order")
-    # both tables are bounded by sources * SLOTS rows
+    # rows that share an id, or have none, are told apart by `tie` and their place, so they spread over partitions
+    rows = rows.withColumn("key", F.xxhash64("id", F.lit(seed))).withColumn("nth", F.monotonically_increasing_id())
+    ranked = global_rank(rows, [F.col("source"), F.col("key"), F.col("id"), F.col("tie"), F.col("nth")], "mix-order").drop("nth")
+    # bounded by the number of sources, its square, and that times SLOTS
     first = F.broadcast(_values(spark, firsts, "source string, first bigint"))
     spans = F.broadcast(_values(spark, phases, "source string, phase bigint, from_block bigint, to_block bigint, w bigint, period bigint, slot0 bigint"))
     table = F.broadcast(_values(spark, slots, "phase bigint, source string, turn bigint, within bigint"))
@@ -130,21 +137,19 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block: int = 16,
     out = out.join(spans, (out["source"] == spans["source"]) & (out["block"] >= spans["from_block"]) & (out["block"] < spans["to_block"])).drop(spans["source"])
     out = out.withColumn("nth", F.col("block") - F.col("from_block")).withColumn("turn", F.col("nth") % F.col("w"))
     out = out.join(table, ["phase", "source", "turn"])
-    slot = F.col("slot0") + F.floor(F.col("nth") / F.col("w")) * F.col("period") + F.col("within")
-    return out.select(real_id("id").alias("doc_id"), F.col("real").alias("source"), "block", slot.alias("slot"), "place", "phase")
+    return out.withColumn("slot", F.col("slot0") + F.floor(F.col("nth") / F.col("w")) * F.col("period") + F.col("within"))
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block: int = 16, seed: int = 17, power: float = 0.7) -> DataFrame:
     """The rows of df, all columns, stored in the order of their mix: partitions follow each other by slot.
 
-    Rows that repeat an id in a source share its place, so none is lost or doubled."""
-    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
-    keyed = df.withColumn("_mix_id", id_or_last(id_col)).withColumn("_mix_source", name)
-    ids = keyed.select(F.col("_mix_id").alias("doc_id"), F.col(source_col).alias("source")).distinct()
-    order = mix(ids, **options).select(id_or_last("doc_id").alias("_mix_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("_mix_source"), F.col("slot").alias("_mix_slot"), F.col("place").alias("_mix_place"))
-    out = keyed.join(order, ["_mix_id", "_mix_source"])
-    out = out.repartitionByRange(partitions(df.sparkSession), "_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    Every row has a place of its own, also those that repeat an id or have none. Columns may have any names."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("real"), tie.alias("tie"), own.alias("row"))
+    out = _scheduled(rows, weights, block, seed, power).select("slot", "place", "row")
+    out = out.repartitionByRange(partitions(df.sparkSession), "slot", "place").sortWithinPartitions("slot", "place")
+    return out.select("row.*")
 
 
 def op4_mix_sources(spark, sf_dir):
