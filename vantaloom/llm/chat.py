@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +63,40 @@ def parse(formatted: Column) -> Column:
         return F.struct(F.when(ok, F.when(escaped, unescape(role)).otherwise(role)).alias("role"), F.when(ok, F.when(escaped, unescape(text)).otherwise(text)).alias("text"), F.length(raw).alias("raw"), F.length(text).alias("length"))
 
     parsed = F.transform(_pieces(formatted), one)
-    zero = F.struct(F.lit(0).cast("int").alias("end"), F.array().cast("array<struct<role:string,text:string,at:int,length:int>>").alias("turns"))
+    return _placed(parsed, head)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once, however often `then` and its lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each element the sum of those before it, in n ** 1.5 steps: over blocks, and over the elements of a block. (An
+    array that grows in an aggregate is copied in each step, with all that it holds.)"""
+    zero = F.lit(0).cast("long")
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, zero, lambda a, y: a + y)
+
+    def in_blocks(side: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / side).cast("int"))
+        return F.transform(numbers, lambda k: F.filter(sizes, lambda _, i: (i >= k * side) & (i < (k + 1) * side)))
+
+    def sums(blocks: Column) -> Column:
+        return _let(F.transform(blocks, total), lambda whole: F.flatten(F.transform(blocks, lambda b, k: _let(total(F.filter(whole, lambda _, i: i < k)), lambda base: F.transform(b, lambda _, i: base + total(F.filter(b, lambda _, j: j < i)))))))
+
+    return F.when(F.size(sizes) == 0, F.array().cast("array<bigint>")).otherwise(_let(_let(F.ceil(F.sqrt(F.size(sizes))).cast("int"), in_blocks), sums))
+
+
+def _placed(parsed: Column, head: Column) -> Column:
+    """Turns with the place of each text."""
 
-    def placed(acc: Column, t: Column) -> Column:
-        end = (acc["end"] + t["raw"] + len(CLOSE)).cast("int")
-        at = (head + acc["end"] + t["raw"] - t["length"] + 1).cast("int")
-        return F.struct(end.alias("end"), F.array_append(acc["turns"], F.struct(t["role"].alias("role"), t["text"].alias("text"), at.alias("at"), t["length"].alias("length"))).alias("turns"))
+    def one(t: Column, before: Column) -> Column:
+        at = (head + before + t["raw"] - t["length"] + 1).cast("int")
+        return F.struct(t["role"].alias("role"), t["text"].alias("text"), at.alias("at"), t["length"].alias("length"))
 
-    return F.aggregate(parsed, zero, placed)["turns"]
+    return _let(parsed, lambda p: F.zip_with(p, _let(F.transform(p, lambda t: (t["raw"] + len(CLOSE)).cast("long")), _sums_before), one))
 
 
 def _contents(turns: Column) -> Column:
