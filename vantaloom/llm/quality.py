@@ -9,20 +9,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_last, materialise, real_id, text_or_empty
+from .common import materialise, text_or_empty
 
 #: Labelled documents the document classifier is fitted on, at most (chosen by a hash of the id).
 TRAIN_DOCS = 6000
+#: Characters of these, at most.
+TRAIN_CHARS = 100_000_000
 #: A word enters the lexicon if it is in so many sample documents and its log odds are so many standard errors from 0.
 LEXICON_DOCS, LEXICON_Z = 5, 5.0
 #: Weight of a document's own probability as soft evidence about its site, where it has no label.
 SOFT = 0.1
+#: Parts that the documents of a site are dealt to.
+SALTS = 16
 #: Decisions: lowest quality and highest toxicity of a kept document.
 MIN_QUALITY, MAX_TOXICITY = 0.5, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 
 
 def shape(text: str, words: list[str]) -> list[float]:
@@ -46,7 +51,7 @@ def shape(text: str, words: list[str]) -> list[float]:
         text.count("!") / r,
         len(set(lines)) / max(1, len(lines)),
         letters / m / 10,
-        sum(c.isdigit() for c in text) / n if any(map(str.isdigit, text[:2000])) or re.search(r"\d", text) else 0.0,
+        len(_DIGIT.findall(text)) / n,
     ]
 
 
@@ -127,11 +132,15 @@ class Evidence:
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[str, ...] = ("quality", "toxic"), train_docs: int = TRAIN_DOCS) -> dict[str, Evidence]:
-    """Fit a classifier per target on whole texts of at most train_docs labelled rows (smallest hash of id)."""
+    """Fit a classifier per target on whole texts of at most train_docs labelled rows (smallest hash of id) that hold
+    TRAIN_CHARS characters in all; rows that repeat an id count as rows."""
     out = {}
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.avg(t).alias(t) for t in targets])
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id").collect()  # at most train_docs ids
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most train_docs ids
+    rows = rows.withColumn("hash", F.xxhash64("id")).orderBy("hash", "id", F.xxhash64("text")).limit(train_docs)
+    before = Window.orderBy("hash", "id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)  # over train_docs rows
+    rows = rows.withColumn("chars", F.sum(F.length("text")).over(before)).filter(F.col("chars") <= TRAIN_CHARS).collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["text"]))
     for t in targets:
         own = [r for r in rows if r[t] is not None]
@@ -170,56 +179,94 @@ def _strength(rate: Column, n: Column, mean: Column) -> Column:
     return F.least(F.greatest(F.sum(n * mean * (1 - mean)) / F.sum(n) / between - 1, F.lit(1.0)), F.lit(10_000.0))
 
 
-def posteriors(scored: DataFrame, target: str) -> DataFrame:
-    """(host, path, n, prior): the path's posterior mean rate of `target`.
-
-    Evidence about a path is its labels and, at weight SOFT, its unlabelled documents' own probabilities.
-    Paths are drawn towards their host and hosts towards the whole table, by beta priors whose strengths
-    are estimated from all groups; so a site with few documents has its parent's rate."""
-    rate = scored.agg(((F.sum(target) + 1) / (F.count(target) + 2)).alias("base"))
-    soft = scored.crossJoin(F.broadcast(rate))  # one row
-    soft = soft.withColumn("p", F.coalesce(F.col(target), _sigmoid(F.col(f"{target}_llr") + F.log(F.col("base") / (1 - F.col("base"))))))
-    soft = soft.withColumn("w", F.when(F.col(target).isNotNull(), 1.0).otherwise(SOFT))
-    paths = soft.groupBy("host", "path").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("p")).alias("k"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    whole = hosts.agg((F.sum("k") / F.sum("n")).alias("mu"))
-    hosts = hosts.crossJoin(F.broadcast(whole))
-    over_hosts = hosts.agg(_strength(F.col("k") / F.col("n"), F.col("n"), F.col("mu")).alias("s"))
-    hosts = hosts.crossJoin(F.broadcast(over_hosts)).select("host", ((F.col("k") + F.col("s") * F.col("mu")) / (F.col("n") + F.col("s"))).alias("host_rate"))
+def _weight(target: str) -> Column:
+    return F.when(F.col(target).isNotNull(), 1.0).otherwise(SOFT)
+
+
+def _own(target: str, base: float) -> Column:
+    """A document's label or, without one, its own probability."""
+    return F.coalesce(F.col(target), _sigmoid(F.col(f"{target}_llr") + F.lit(_logit(base))))
+
+
+def sites(scored: DataFrame, targets: tuple[str, ...]) -> tuple[DataFrame, dict[str, dict[str, float]]]:
+    """Per site (host, path) and target its evidence <target>_n, <target>_k and that of its host, <target>_hn, <target>_hk; and per target
+    the whole table's `base`, `mu` and the strengths `over_hosts`, `over_paths` of the priors.
+
+    Evidence about a path is its labels and, at weight SOFT, its unlabelled documents' own probabilities, summed before they are
+    shuffled. Both targets are taken in one pass; what the driver gets is one row."""
+    row = scored.agg(*[((F.sum(t) + 1) / (F.count(t) + 2)).alias(t) for t in targets]).first()
+    whole = {t: {"base": 0.5 if row[t] is None else row[t]} for t in targets}
+    sums = []
+    for t in targets:
+        w = _weight(t)
+        sums += [F.sum(w).alias(f"{t}_n"), F.sum(w * _own(t, whole[t]["base"])).alias(f"{t}_k")]
+    paths = materialise(scored.groupBy("host", "path").agg(*sums), "paths")
+    hosts = paths.groupBy("host").agg(*[F.sum(f"{t}_{c}").alias(f"{t}_h{c}") for t in targets for c in "nk"])
+    hosts = materialise(hosts, "hosts")
+    row = hosts.agg(*[(F.sum(f"{t}_hk") / F.sum(f"{t}_hn")).alias(t) for t in targets]).first()
+    for t in targets:
+        whole[t]["mu"] = 0.5 if row[t] is None else row[t]
+    row = hosts.agg(*[_strength(F.col(f"{t}_hk") / F.col(f"{t}_hn"), F.col(f"{t}_hn"), F.lit(whole[t]["mu"])).alias(t) for t in targets]).first()
+    for t in targets:
+        whole[t]["over_hosts"] = 1.0 if row[t] is None else row[t]
     paths = paths.join(hosts, "host")
-    over_paths = paths.agg(_strength(F.col("k") / F.col("n"), F.col("n"), F.col("host_rate")).alias("s"))
-    return paths.crossJoin(F.broadcast(over_paths)).select("host", "path", F.col("n").alias(f"{target}_n"), ((F.col("k") + F.col("s") * F.col("host_rate")) / (F.col("n") + F.col("s"))).alias(f"{target}_prior"))
+    rates = {t: (F.col(f"{t}_hk") + whole[t]["over_hosts"] * whole[t]["mu"]) / (F.col(f"{t}_hn") + whole[t]["over_hosts"]) for t in targets}
+    row = paths.agg(*[_strength(F.col(f"{t}_k") / F.col(f"{t}_n"), F.col(f"{t}_n"), rates[t]).alias(t) for t in targets]).first()
+    for t in targets:
+        whole[t]["over_paths"] = 1.0 if row[t] is None else row[t]
+    return paths, whole
+
+
+def prior(target: str, whole: dict[str, float], w: Column | None = None, p: Column | None = None) -> Column:
+    """A site's posterior mean rate, without a document of it that has weight w and rate p, if given.
+
+    Paths are drawn towards their host and hosts towards the whole table, by beta priors; so a site with few documents has its
+    parent's rate, and a document alone at its host has the whole table's."""
+    w = F.lit(0.0) if w is None else w
+    wp = F.lit(0.0) if p is None else w * p
+    host = (F.greatest(F.col(f"{target}_hk") - wp, F.lit(0.0)) + whole["over_hosts"] * whole["mu"]) / (F.greatest(F.col(f"{target}_hn") - w, F.lit(0.0)) + whole["over_hosts"])
+    return (F.greatest(F.col(f"{target}_k") - wp, F.lit(0.0)) + whole["over_paths"] * host) / (F.greatest(F.col(f"{target}_n") - w, F.lit(0.0)) + whole["over_paths"])
+
+
+def posteriors(scored: DataFrame, target: str) -> DataFrame:
+    """(host, path, <target>_n, <target>_prior): each site's evidence and posterior mean rate of `target`."""
+    paths, whole = sites(scored, (target,))
+    return paths.select("host", "path", f"{target}_n", prior(target, whole[target]).alias(f"{target}_prior"))
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """One row per row of df: doc_id, host, path, quality, toxicity (posteriors, 0 to 1), kept, and per target its evidence
-    (_llr) and its site's posterior rate (_prior).
+    (_llr) and its site's rate from all the other documents (_prior).
 
-    A document's posterior log odds are its site's (posteriors) plus its own evidence. Null hosts and paths are sites of
+    A document's posterior log odds are its site's, of which its own label and evidence are no part, plus its own evidence. Null hosts and paths are sites of
     their own (shown as null); null texts count as empty; repeated labels are averaged; rows that repeat an id
     share its labels; null ids have none. Without labels all evidence is 0. An empty table gives no rows. Sites'
-    sums are formed before the shuffle, so one site may hold any share of the rows."""
+    sums are formed before the shuffle, and rows of a large site are dealt out by a salt, so one site may hold any share of the rows."""
+    targets = ("quality", "toxic")
     models = fit(df, labels, id_col, text_col, train_docs=train_docs)
 
     def site(c: str) -> Column:
         return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
 
-    rows = df.select(id_or_last(id_col).alias("id"), site(host_col).alias("host"), site(path_col).alias("path"), text_or_empty(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), site(host_col).alias("host"), site(path_col).alias("path"), text_or_empty(text_col).alias("text"))
     scored = evidence(rows, models)
-    known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
+    known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.avg(t).cast("double").alias(t) for t in targets])
     scored = materialise(scored.join(known, "id", "left"), "evidence")
-    out = scored.drop("quality", "toxic")
-    for t in ("quality", "toxic"):
-        out = out.join(posteriors(scored, t).drop(f"{t}_n"), ["host", "path"])
-    for t in ("quality", "toxic"):
-        prior = F.least(F.greatest(F.col(f"{t}_prior"), F.lit(1e-4)), F.lit(1 - 1e-4))
-        out = out.withColumn(f"{t}_p", _sigmoid(F.col(f"{t}_llr") + F.log(prior / (1 - prior))))
+    paths, whole = sites(scored, targets)
+    # a site's row goes to each of SALTS places, its documents to one of them
+    salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("id", *[f"{t}_llr" for t in targets]), F.lit(SALTS)).cast("int")
+    out = scored.withColumn("salt", salt).join(salted, ["host", "path", "salt"])
+    for t in targets:
+        rate = prior(t, whole[t], _weight(t), _own(t, whole[t]["base"]))
+        out = out.withColumn(f"{t}_prior", F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4)))
+        out = out.withColumn(f"{t}_p", _sigmoid(F.col(f"{t}_llr") + F.log(F.col(f"{t}_prior") / (1 - F.col(f"{t}_prior")))))
 
     def shown(c: str) -> Column:
         return F.when(F.col(c) != "-", F.substring(c, 2, 1 << 30)).alias(c)
 
     kept = (F.col("quality_p") >= MIN_QUALITY) & (F.col("toxic_p") < MAX_TOXICITY)
-    return out.select(real_id("id").alias("doc_id"), shown("host"), shown("path"), F.col("quality_p").alias("quality"), F.col("toxic_p").alias("toxicity"), kept.alias("kept"), "quality_llr", "toxic_llr", "quality_prior", "toxic_prior")
+    return out.select(F.col("id").alias("doc_id"), shown("host"), shown("path"), F.col("quality_p").alias("quality"), F.col("toxic_p").alias("toxicity"), kept.alias("kept"), "quality_llr", "toxic_llr", "quality_prior", "toxic_prior")
 
 
 def op7_quality(spark, sf_dir):
