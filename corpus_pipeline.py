@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaloom.llm.common import table_path
@@ -18,32 +19,47 @@ MIN_LANGUAGE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters in a language the model knows (9)."""
-    told = identify(docs, fit(docs), lang_out="_language", score_out="_language_score")
-    return told.filter((F.col("_language") != "und") & (F.col("_language_score") >= MIN_LANGUAGE)).select(*docs.columns)
+    """Documents with letters in a language the model knows (9). Those with null or empty texts go; rows that repeat all stay."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    told = identify(docs.select(F.col("text").cast("string").alias("text"), own.alias("row")), fit(docs))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select("row.*")
 
 
 def line_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks of lines an earlier one has; those that lose all their lines go (10)."""
+    """Documents without the blocks of lines an earlier one has; those that lose all their lines go (10). Rows without lines stay."""
     out = line_dedup(docs).filter((F.col("removed_lines") < F.col("n_lines")) | (F.col("n_lines") == 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 over 5-word shingles (8)."""
+    """One document of each group linked by a similarity of 0.8 over 5-word shingles (8). Rows without words stay."""
     return one_of_each(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order of the mix (4)."""
+    """All documents, stored in the order of the mix (4): part by part, and in a part row by row."""
     return mixed_rows(docs)
 
 
+def stored_place(docs: DataFrame) -> tuple[DataFrame, tuple[Column, Column]]:
+    """docs, and where each row stands in its stored table: the number of its part file and its row there. Rows that come from no
+    file stand in the order of their partitions."""
+    try:
+        at = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        at = docs.withColumn("_file", F.lit("part-0")).withColumn("_row", F.monotonically_increasing_id())
+    part = F.coalesce(F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return at, (part, F.col("_row"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids (2)."""
-    return with_sequence_ids(pack(docs, tokenizer_path("byte_bpe_50k.json"))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tokens")
+    """Pieces of sequences of 2048 ids (2). Groups are neighbours in the mix, and sequences are numbered in its order. Null and empty
+    texts are their end id alone."""
+    docs, place = stored_place(docs.select("doc_id", "text"))
+    out = with_sequence_ids(pack(docs, tokenizer_path("byte_bpe_50k.json"), place=place))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tokens")
 
 
 STAGES = [
