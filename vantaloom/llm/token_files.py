@@ -10,13 +10,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .codec import decode_block, encode_block
-from .common import id_or_last, partitions, real_id, table_path, text_or_empty
+from .codec import MOST_IDS, decode_block, encode_block
+from .common import partitions, table_path, text_or_empty
 from .tokens import encoder, tokenizer_path
 
-#: Ids of a block, unless a single document has more.
-BLOCK_IDS = 1 << 22
-_BLOCKS = "part int, block int, ids_before long, doc_ids array<long>, n_tokens array<long>, data binary"
+#: Ids of a block at most; a longer document has blocks of its own.
+BLOCK_IDS = MOST_IDS
+_BLOCKS = "part int, block int, ids_before long, doc_ids array<long>, n_tokens array<long>, whole int, data binary"
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
@@ -25,32 +25,42 @@ def write_token_files(df: DataFrame, path: str, tokenizer_file: str, end_id: int
     Any Hadoop path does: the container is Parquet, one row per block, and a block is codec.encode_block's
     byte string. Rows are range-partitioned and sorted by id (null ids last; rows that repeat an id
     by text), so that part and block follow the ids. A null or empty text has its end id alone. A
-    block holds whole documents."""
+    block holds whole documents, or a stretch of one that is longer than a block: `whole` is then the number of
+    its first block. So coding needs a block's memory, however long a text is."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        encode, end = encoder(tokenizer_file).encode, np.uint32(end_id).astype("<u4").tobytes()
-        ids, data, size, block, before = [], [], 0, 0, 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
+        encode_all = encoder(tokenizer_file).encode_all
+        ids, lengths, data, size = [], [], [], 0
 
-        def close():
-            lengths = [len(x) // 4 for x in data]
-            packed = encode_block(np.frombuffer(b"".join(data), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([packed], pa.binary())], names=["part", "block", "ids_before", "doc_ids", "n_tokens", "data"])
+        def row(ids, lengths, data, whole):
+            nonlocal block, before
+            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([whole], pa.int32()), pa.array([encode_block(data)], pa.binary())]
+            block, before = block + 1, before + len(data)
+            return pa.RecordBatch.from_arrays(columns, names=["part", "block", "ids_before", "doc_ids", "n_tokens", "whole", "data"])
 
         for b in batches:
-            for i, t in zip(b["id"].to_pylist(), b["text"]):
-                own = encode(t.as_py()) + end
-                if data and size + len(own) // 4 > block_ids:
-                    yield close()
-                    before, block, ids, data, size = before + size, block + 1, [], [], 0
+            own, n = encode_all(b["text"], end_id)
+            ends = np.cumsum(n)
+            for i, length, end in zip(b["id"].to_pylist(), n.tolist(), ends.tolist()):
+                if ids and size + length > block_ids:
+                    yield row(ids, lengths, np.concatenate(data), None)
+                    ids, lengths, data, size = [], [], [], 0
+                if length > block_ids:
+                    first = block
+                    for at in range(end - length, end, block_ids):
+                        yield row([i], [min(block_ids, end - at)], own[at : min(at + block_ids, end)], first)
+                    continue
                 ids.append(i)
-                data.append(own)
-                size += len(own) // 4
-        if data:
-            yield close()
-
-    docs = df.select(id_or_last(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    docs = docs.repartitionByRange(partitions(df.sparkSession), "id").sortWithinPartitions("id", "text")
+                lengths.append(length)
+                data.append(own[end - length : end])
+                size += length
+        if ids:
+            yield row(ids, lengths, np.concatenate(data), None)
+
+    docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    order = [F.col("id").isNull(), F.col("id")]
+    docs = docs.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order, "text")
     docs.mapInArrow(blocks, _BLOCKS).write.parquet(path)
 
 
@@ -66,21 +76,25 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 if 4 * int(ends[-1]) != len(data):
                     raise ValueError("a block holds other ids than its row says")
-                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32) if len(data) < 2**31 else None
-                if offsets is None:
-                    tokens = pa.array([data[4 * (e - n) : 4 * e] for e, n in zip(ends, lengths)], pa.large_binary()).cast(pa.binary())
-                else:
-                    tokens = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                tokens = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 starts = b["ids_before"][i].as_py() + ends - lengths
-                yield pa.RecordBatch.from_arrays([b["doc_ids"][i].values, pa.array(np.full(len(ends), b["part"][i].as_py(), np.int32)), pa.array(starts), pa.array(lengths), tokens], names=["doc_id", "part", "start", "n_tokens", "tokens"])
+                of = pa.array([b["whole"][i].as_py()] * len(ends), pa.int32())
+                yield pa.RecordBatch.from_arrays([b["doc_ids"][i].values, pa.array(np.full(len(ends), b["part"][i].as_py(), np.int32)), of, pa.array(starts), pa.array(lengths), tokens], names=["doc_id", "part", "whole", "start", "n_tokens", "tokens"])
 
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    out = blocks.mapInArrow(documents, "doc_id long, part int, start long, n_tokens long, tokens binary")
+    schema = "doc_id long, part int, whole int, start long, n_tokens long, tokens binary"
+    out = blocks.filter("whole IS NULL").mapInArrow(documents, schema)
+    # stretches of long documents meet again; all others pass by
+    long = blocks.filter("whole IS NOT NULL").mapInArrow(documents, schema)
+    long = long.groupBy("part", "whole").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "tokens"))).alias("all"))
+    long = long.withColumn("tokens", F.aggregate("all.tokens", F.lit(b""), lambda x, y: F.concat(x, y)))
+    out = out.unionByName(long.select("doc_id", "part", "whole", "start", "n_tokens", "tokens"))
     out = out.join(F.broadcast(bases), "part")  # one row per written partition
-    return out.select(real_id("doc_id").alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "tokens")
+    return out.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "tokens")
 
 
 def op5_token_files(spark, sf_dir):
