@@ -12,14 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Stands for a null id wherever ids are sorted or compared; it sorts after every real id.
-NULL_ID = 2**63 - 1
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A private one is made only where none is configured (tests)."""
+    """The folder all executors share. A private one is made only where none is configured and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vantaloom-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(found)
@@ -52,12 +50,9 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def id_or_last(col: str) -> Column:
-    return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
-
-
-def real_id(col: str | Column) -> Column:
-    return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))
+def null_last(col: str) -> Column:
+    """An id as a struct that sorts null ids after all others."""
+    return F.struct(F.col(col).isNull().alias("none"), F.col(col).cast("long").alias("id"))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -72,7 +67,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = placed.join(F.broadcast(bases), "_part")  # one row per partition
+    ranked = placed.join(F.broadcast(bases), "_part")  # one row of two longs per partition
     return ranked.withColumn("rank", F.col("_base") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))).drop("_part", "_at", "_base")
 
 
