@@ -81,10 +81,55 @@ def transfer_error(t: Column, a: Column, b: Column) -> Column:
     return F.hypot(t["scale"] * a["x"] + t["dx"] - b["x"], t["scale"] * a["y"] + t["dy"] - b["y"])
 
 
-def within_limits(scale: Column, feature_type: str) -> Column:
-    """Whether a match's scale change is allowed for the feature type (P20)."""
-    most = matcher_preset(feature_type)["max_scaling"]
-    return (scale <= most) & (scale >= 1 / most)
+def within_limits(scale: Column, feature_type: str, scale_deviation: Column | None = None, rotation: Column | None = None) -> Column:
+    """Whether a match's scale change, the deviation of its points' scales and its in-plane rotation (radians, either way) are
+    allowed for the feature type (P20)."""
+    most = matcher_preset(feature_type)
+    out = (scale <= most["max_scaling"]) & (scale >= 1 / most["max_scaling"])
+    if scale_deviation is not None:
+        out = out & (scale_deviation <= most["max_scale_deviation"])
+    return out if rotation is None else out & (F.abs(rotation) <= most["max_rotation"])
+
+
+def centroid(points: Column) -> Column:
+    """Centre of gravity (x, y) of a simple polygon (V31); null for one without area."""
+    following = F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, F.lit(1), F.lit(1)))
+    cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    total = lambda f: F.aggregate(F.zip_with(points, following, f), F.lit(0.0), lambda s, t: s + t)
+    twice = total(cross)
+    at = lambda c: total(lambda p, q: (p[c] + q[c]) * cross(p, q)) / (3 * twice)
+    return F.when(twice != 0, F.struct(at("x").alias("x"), at("y").alias("y")))
+
+
+def point_within(x: Column, y: Column, points: Column) -> Column:
+    """Whether a point lies in a simple polygon, by how often a ray to the right crosses its sides (V31); a border is half inside."""
+    following = F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, F.lit(1), F.lit(1)))
+    crosses = F.zip_with(points, following, lambda p, q: ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"]))
+    return F.size(F.filter(crosses, lambda c: c)) % 2 == 1
+
+
+def point_distance(a: Column, b: Column) -> Column:
+    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+
+
+def segment_distance(p: Column, a: Column, b: Column) -> Column:
+    """Distance of a point from the straight line between two points."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    length = dx * dx + dy * dy
+    along = F.when(length > 0, F.least(F.greatest(((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return F.hypot(a["x"] + along * dx - p["x"], a["y"] + along * dy - p["y"])
+
+
+def box_union_area(a: Column, b: Column) -> Column:
+    """Area that two boxes (x, y, w, h) cover together."""
+    both = rect_intersection(a, b)
+    return a["w"] * a["h"] + b["w"] * b["h"] - F.coalesce(both["w"] * both["h"], F.lit(0))
+
+
+def box_difference_area(a: Column, b: Column) -> Column:
+    """Area of box a outside box b."""
+    both = rect_intersection(a, b)
+    return a["w"] * a["h"] - F.coalesce(both["w"] * both["h"], F.lit(0))
 
 
 def density_per_megapixel(features: Column, width: Column, height: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Keys, hashes and their text forms."""
+"""Keys, hashes and their text forms."""
 
 from __future__ import annotations
 
@@ -17,9 +17,17 @@ def key_to_uint64(c: Column) -> Column:
 
 
 def double_to_key(c: Column) -> Column:
-    """A text in the order of finite doubles under 1e20, to nine decimals (F2); a plain column sorts as well."""
-    below = F.concat(F.lit("0"), F.format_string("%031.9f", F.lit(1e20) + c))
-    return F.when(c < 0, below).otherwise(F.concat(F.lit("1"), F.format_string("%031.9f", c)))
+    """A text in the order of doubles, negative ones and infinities included (F2); NaN comes last, -0.0 equals 0.0.
+
+    Sign, exponent and all digits of the shortest decimal, which tells any two doubles apart; those of a negative number are
+    complemented, so that a smaller number has the smaller text."""
+    x = c.cast("double")
+    text = F.format_string("%.17e", F.abs(x))
+    digits = F.rpad(F.replace(F.substring_index(text, "e", 1), F.lit("."), F.lit("")), 18, "0")
+    exponent = F.lpad((F.substring_index(text, "e", -1).cast("int") + 400).cast("string"), 3, "0")
+    size = F.when(x == 0, F.lit("0" * 21)).otherwise(F.concat(exponent, digits))
+    finite = F.when(x < 0, F.concat(F.lit("1"), F.translate(size, "0123456789", "9876543210"))).otherwise(F.concat(F.lit("2"), size))
+    return F.when(F.isnan(x), "4").when(x == float("inf"), "3").when(x == float("-inf"), "0").otherwise(finite)
 
 
 def edge_key(a: Column, b: Column) -> Column:

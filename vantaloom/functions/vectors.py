@@ -24,7 +24,8 @@ def normalised(v: Column, norm: str = "l2") -> Column:
     if norm == "none":
         return v
     size = total(F.transform(v, lambda x: F.abs(x.cast("double")))) if norm == "l1" else F.sqrt(total(F.transform(v, lambda x: F.pow(x.cast("double"), 2))))
-    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    # the norm beside each element, as a lambda would compute it anew for every one
+    return F.zip_with(v, F.array_repeat(size, F.size(v)), lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
 
 
 def root_normalised(v: Column) -> Column:
@@ -35,9 +36,10 @@ def root_normalised(v: Column) -> Column:
 def sparse_from_words(words: Column, binarize: bool = True) -> Column:
     """Array of (index, value) of a word list, by rising word, L1-normalised."""
     distinct = F.array_sort(F.array_distinct(words))
+    whole = F.array_repeat(F.size(distinct if binarize else words), F.size(distinct))
     if binarize:
-        return F.transform(distinct, lambda w: F.struct(w.alias("index"), (F.lit(1.0) / F.size(distinct)).alias("value")))
-    return F.transform(distinct, lambda w: F.struct(w.alias("index"), (F.size(F.filter(words, lambda x: x == w)) / F.size(words)).alias("value")))
+        return F.zip_with(distinct, whole, lambda w, n: F.struct(w.alias("index"), (F.lit(1.0) / n).alias("value")))
+    return F.zip_with(distinct, whole, lambda w, n: F.struct(w.alias("index"), (F.size(F.filter(words, lambda x: x == w)) / n).alias("value")))
 
 
 def sorted_sparse(indices: Column, values: Column) -> Column:

@@ -16,6 +16,19 @@ def canonical(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     return edges.withColumn("_a", low).withColumn("_b", high).drop(a, b).withColumnsRenamed({"_a": "src", "_b": "dst"}).filter("src <> dst")
 
 
+def all_pairs(vertices: DataFrame, block: int = 1024) -> DataFrame:
+    """(src, dst), src < dst, of all vertices (J10): n (n - 1) / 2 rows, as asked for. Vertices fall into blocks, and each pair of
+    blocks is a key of an equi-join, so tasks hold two blocks."""
+    n = max(1, -(-vertices.count() // block))
+    rows = vertices.select("id").distinct().withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    every = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    key = [F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")]
+    left = every.filter("b <= o").select(F.col("id").alias("x"), *key)
+    right = every.filter("b >= o").select(F.col("id").alias("y"), *key)
+    pairs = left.join(right, ["low", "high"]).filter("low < high or x < y")
+    return pairs.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, degree) of an undirected edge table (V4)."""
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))

@@ -25,6 +25,29 @@ def trial(positives: DataFrame, train: int, test: int = 100, class_col: str = "l
     return ranked.select(F.col(id_col).alias("id"), F.col(class_col).alias("label"), split.alias("split")).filter(F.col("split").isNotNull())
 
 
+def write_dataset(objects: DataFrame, path: str) -> None:
+    """Objects (id, name, photos) as a table; an id that occurs twice, or a photo in two objects, is an error."""
+    from .relational import find_duplicates
+
+    if not find_duplicates(objects, "id").isEmpty() or not find_duplicates(photos_of(objects).select("object_id", "photo_id").distinct(), "photo_id").isEmpty():
+        raise ValueError("an object's or photo's id occurs twice")
+    objects.write.mode("errorifexists").parquet(path)
+
+
+def trial_with_aux(photos: DataFrame, train: int, frac_aux: float, test: int = 100, seed: str = "0") -> DataFrame:
+    """(split, photo_id, object_id): per object `train` training photos and min(test, rest) test photos of its positives, and the
+    fraction frac_aux of its auxiliary (unlabelled) photos, rounded, by a seeded hash (D26).
+
+    photos: object_id, photo_id, label as of photos_of. ValueError unless 0 <= frac_aux <= 1."""
+    if not 0 <= frac_aux <= 1:
+        raise ValueError("a fraction lies between 0 and 1")
+    order = Window.partitionBy("object_id", "label").orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col("photo_id").cast("string"))), "photo_id")
+    ranked = photos.withColumns({"_n": F.row_number().over(order), "_of": F.count("*").over(Window.partitionBy("object_id", "label"))})
+    split = F.when((F.col("label") == "POSITIVE") & (F.col("_n") <= train), "train").when((F.col("label") == "POSITIVE") & (F.col("_n") <= train + test), "test")
+    split = split.when((F.col("label") == "NONE") & (F.col("_n") <= F.round(F.col("_of") * frac_aux)), "aux")
+    return ranked.select(split.alias("split"), "photo_id", "object_id").filter(F.col("split").isNotNull())
+
+
 def best_label(scores: DataFrame, threshold: float, uniqueness: float, default: object) -> DataFrame:
     """(id, label): the best label if its score is at least threshold and `uniqueness` orders of magnitude over the second,
     else the default (P12)."""
@@ -80,6 +103,29 @@ def image_predictions(region_scores: DataFrame, regions: DataFrame) -> DataFrame
     return region_scores.join(regions.select(F.col("region_id").alias("id"), "image_id"), "id").groupBy("image_id", "label").agg(F.max("score").alias("score"))
 
 
+def region_seeds(regions: DataFrame, split: DataFrame, mode: str) -> DataFrame:
+    """(id, label): training labels of regions (D23). In `detection` all regions of a training image have its label; in
+    `localisation` only those marked as the object's (true_region), and the others are labelled as background, -1.
+
+    regions: region_id, image_id, true_region; split: id (of images), label, split."""
+    if mode not in ("detection", "localisation"):
+        raise ValueError(f"no supervision mode: {mode}")
+    known = regions.join(split.filter("split = 'train'").select(F.col("id").alias("image_id"), "label"), "image_id")
+    label = F.col("label") if mode == "detection" else F.when(F.col("true_region"), F.col("label")).otherwise(-1)
+    return known.select(F.col("region_id").alias("id"), label.alias("label"))
+
+
+def region_overlap_edges(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(truth_id, region_id, overlap): pairs of one image whose boxes share an area, with it.
+
+    Both: region_id, image_id, x, y, w, h. The join is on the image; boxes that only touch share nothing."""
+    box = lambda s: {c: f"{c}_{s}" for c in ("region_id", "x", "y", "w", "h")}
+    both = truth.withColumnsRenamed(box("t")).join(found.withColumnsRenamed(box("f")), "image_id")
+    w = F.least(F.col("x_t") + F.col("w_t"), F.col("x_f") + F.col("w_f")) - F.greatest("x_t", "x_f")
+    h = F.least(F.col("y_t") + F.col("h_t"), F.col("y_f") + F.col("h_f")) - F.greatest("y_t", "y_f")
+    return both.withColumns({"_w": w, "_h": h}).filter("_w > 0 AND _h > 0").select(F.col("region_id_t").alias("truth_id"), F.col("region_id_f").alias("region_id"), (F.col("_w") * F.col("_h")).alias("overlap"))
+
+
 def compare_results(a: DataFrame, b: DataFrame, beta: float = 1.0) -> DataFrame:
     """Two results (trial, precision, recall) side by side with their F-scores."""
     side = lambda df, s: df.select("trial", *[F.col(c).alias(f"{c}_{s}") for c in ("precision", "recall")], f_score(F.col("precision"), F.col("recall"), beta).alias(f"f_{s}"))

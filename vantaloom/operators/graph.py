@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder in spark.checkpoint.dir; a folder of this process only where none is set (tests)."""
+    """Checkpoint to the folder in spark.checkpoint.dir; a folder of this process only where none is set and all runs on this machine (tests)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vantaloom-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="vantaloom-"))
     return df.checkpoint()
 
 
@@ -126,18 +130,19 @@ def subgraph(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def dag_paths(edges: DataFrame, source: int, longest: bool = False, most_rounds: int = 1000) -> DataFrame:
-    """(id, dist) of vertices reachable from source in a weighted DAG: shortest or longest (V9), by relaxation."""
+    """(id, dist) of vertices reachable from source in a weighted DAG: shortest or longest (V9), by relaxation. Only vertices
+    whose distance changed in a round pass it on in the next; it ends when none did."""
+    better = F.greatest if longest else F.least
     pick = F.max if longest else F.min
-    dist = edges.sparkSession.createDataFrame([(source, 0.0)], "id long, dist double")
     edges = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    before = None
+    dist = fresh = cut_lineage(edges.sparkSession.createDataFrame([(source, 0.0)], "id long, dist double"))
     for _ in range(most_rounds):
-        new = edges.join(dist.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"))
-        dist = cut_lineage(dist.unionByName(new).groupBy("id").agg(pick("dist").alias("dist")))
-        now = tuple(dist.agg(F.count("*"), F.sum("dist")).first())
-        if now == before:
+        new = edges.join(fresh.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(pick(F.col("dist") + F.col("weight")).alias("new"))
+        both = cut_lineage(dist.join(new, "id", "full").select("id", better("dist", "new").alias("best"), "dist"))
+        dist = both.select("id", F.col("best").alias("dist"))
+        fresh = both.filter(F.col("dist").isNull() | (F.col("dist") != F.col("best"))).select("id", F.col("best").alias("dist"))
+        if fresh.isEmpty():
             return dist
-        before = now
     raise ValueError("the graph has a cycle or is deeper than most_rounds")
 
 
@@ -166,12 +171,35 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def _least_before(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, least): the smallest id with a path to a vertex, its own included. Only what fell in a round is passed on."""
+    known = cut_lineage(vertices.select("id", F.col("id").alias("least")))
+    fresh = known
+    while True:
+        near = edges.join(fresh.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("m"))
+        new = cut_lineage(known.join(near, "id", "left").select("id", F.least("least", "m").alias("new"), "least"))
+        fresh = new.filter("new < least").select("id", F.col("new").alias("least"))
+        if fresh.isEmpty():
+            return known
+        known = new.select("id", F.col("new").alias("least"))
+
+
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): smallest id that reaches a vertex and is reached by it (V2)."""
-    paths = transitive_closure(edges)
-    mutual = paths.join(paths.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    least = mutual.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
-    return vertices.select("id").join(least, "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component"))
+    """(id, component): smallest id that reaches a vertex and is reached by it (V2).
+
+    Each vertex is told by the smallest id that reaches it and the smallest it reaches. Vertices of one component agree
+    in both, so edges between vertices that differ go; when none does, the smallest id of what is left connected reaches all
+    of it and is reached by all. Tables hold a row a vertex and edge, and no paths."""
+    ids = cut_lineage(vertices.select("id").distinct())
+    left = cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct())
+    while True:
+        told = _least_before(ids, left).withColumnRenamed("least", "before").join(_least_before(ids, reverse(left)).withColumnRenamed("least", "after"), "id")
+        told = cut_lineage(told)
+        ends = left.join(told.select(F.col("id").alias("src"), F.struct("before", "after").alias("a")), "src").join(told.select(F.col("id").alias("dst"), F.struct("before", "after").alias("b")), "dst")
+        ends = cut_lineage(ends)
+        if ends.filter("a <> b").isEmpty():
+            return told.select("id", F.col("before").alias("component"))
+        left = cut_lineage(ends.filter("a = b").select("src", "dst"))
 
 
 def minimum_spanning_tree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -252,6 +280,102 @@ def bridges(edges: list[tuple]) -> Iterator[tuple]:
                         yield (min(v, parent), max(v, parent))
 
 
+def biconnected(edges: list[tuple]) -> Iterator[tuple]:
+    """(block, src, dst): each edge's biconnected component, numbered by its smallest edge's place (V3). A bridge is a block of one edge."""
+    near = _adjacent(edges)
+    order: dict = {}
+    low: dict = {}
+    blocks: list[list[tuple]] = []
+    for root in sorted(near):
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        stack, open_edges = [(root, None, iter(sorted(near[root])))], []
+        while stack:
+            v, parent, rest = stack[-1]
+            for w in rest:
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    open_edges.append((v, w))
+                    stack.append((w, v, iter(sorted(near[w]))))
+                    break
+                if w != parent and order[w] < order[v]:
+                    open_edges.append((v, w))
+                    low[v] = min(low[v], order[w])
+            else:
+                stack.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[v])
+                    if low[v] >= order[parent]:
+                        at = open_edges.index((parent, v))
+                        blocks.append(sorted((min(e), max(e)) for e in open_edges[at:]))
+                        del open_edges[at:]
+    for i, block in enumerate(sorted(blocks)):
+        for a, b in block:
+            yield (i, a, b)
+
+
+def articulation_points(edges: list[tuple]) -> Iterator[tuple]:
+    """(vertex,) that several blocks share: without it the graph falls apart (V3)."""
+    blocks: dict = {}
+    for i, a, b in biconnected(edges):
+        blocks.setdefault(a, set()).add(i)
+        blocks.setdefault(b, set()).add(i)
+    for v in sorted(blocks):
+        if len(blocks[v]) > 1:
+            yield (v,)
+
+
+def edge_connectivity(edges: list[tuple]) -> Iterator[tuple]:
+    """(number,): the fewest edges whose loss parts a connected graph (V7), by least cuts of merged vertices."""
+    near = {v: {w: 1 for w in ws} for v, ws in _adjacent(edges).items()}
+    if len(near) < 2:
+        return
+    best = None
+    while len(near) > 1:
+        start = min(near)
+        weight, added, heap = dict(near[start]), [start], [(-n, w) for w, n in near[start].items()]
+        left = set(near) - {start}
+        heapify(heap)
+        cut = 0
+        while left:
+            n, v = heappop(heap)
+            if v not in left or -n != weight[v]:
+                continue  # an entry from before its weight grew
+            cut = -n
+            left.remove(v)
+            added.append(v)
+            for w, m in near[v].items():
+                if w in left:
+                    weight[w] = weight.get(w, 0) + m
+                    heappush(heap, (-weight[w], w))
+        best = cut if best is None else min(best, cut)
+        a, b = added[-2], added[-1]  # the last vertex joins the one before
+        for w, n in near.pop(b).items():
+            near[w].pop(b, None)
+            if w != a:
+                near[a][w] = near[a].get(w, 0) + n
+                near[w][a] = near[a][w]
+    yield (best,)
+
+
+def simple_cycles(edges: DataFrame, most: int) -> DataFrame:
+    """(members) of each simple cycle of up to `most` vertices, from its smallest vertex on towards the smaller neighbour, once.
+
+    Paths grow by a join a step from their smallest vertex, over larger ones only."""
+    both = cut_lineage(both_ways(edges).filter("src <> dst"))
+    paths = both.filter("src < dst").select(F.array("src", "dst").alias("members"))
+    found = None
+    for n in range(3, most + 1):
+        last = paths.withColumn("src", F.element_at("members", -1))
+        paths = last.join(both, "src").filter((F.col("dst") > F.col("members")[0]) & ~F.array_contains("members", F.col("dst")))
+        paths = cut_lineage(paths.select(F.array_append("members", F.col("dst")).alias("members")))
+        closed = paths.filter(F.col("members")[1] < F.element_at("members", -1)).select("members", F.element_at("members", -1).alias("src"), F.col("members")[0].alias("dst"))
+        closed = closed.join(both, ["src", "dst"], "left_semi").select("members")
+        found = closed if found is None else found.unionByName(closed)
+    return found if found is not None else paths.limit(0)
+
+
 def maximal_cliques(edges: list[tuple]) -> Iterator[tuple]:
     """(size, smallest member, largest member) of each maximal clique (V6)."""
     for (members,) in clique_members(edges):

@@ -9,6 +9,22 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+def identity(df: DataFrame) -> DataFrame:
+    """The rows as they are."""
+    return df
+
+
+def map_or_fail(df: DataFrame, made: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with `name` made, rows for which it came out null) of a map that may fail (P5)."""
+    tried = df.withColumn(name, made)
+    return tried.filter(F.col(name).isNotNull()), tried.filter(F.col(name).isNull()).drop(name)
+
+
+def combine(df: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
+    """Sums by key, formed in each partition before the shuffle and again after it."""
+    return df.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def drop_value(df: DataFrame, *key: str) -> DataFrame:
     """Keys only (P2); the scan then reads no other column."""
     return df.select(*key)
@@ -116,6 +132,17 @@ def top_per_group(df: DataFrame, group: list[str], k: int, order: list[Column])
 
 
 def batches(df: DataFrame, size: int, order: list[Column], within: list[str] | None = None) -> DataFrame:
-    """Work units of at most `size` rows, numbered `batch` within each group."""
-    place = F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order))
-    return df.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    """Work units of at most `size` rows, numbered `batch` within each group (W7). Without groups, range partitions are numbered
+    through, so no task sees the whole table."""
+    if within:
+        place = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+        return df.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    from .graph import cut_lineage
+
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))  # two numbers a partition
+    rank = F.col("_base") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return placed.join(bases, "_part").withColumn("batch", F.floor(rank / size).cast("long")).drop("_part", "_at", "_base")

@@ -131,6 +131,24 @@ class FileSystem:
     def remove(self, path: str) -> bool:
         return self._fs.delete(self._path(path), True)
 
+    def write(self, path: str, data: bytes) -> None:
+        """A file of these bytes; folders are made, a file in the way is replaced."""
+        out = self._fs.create(self._path(path), True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
+    def read(self, path: str, start: int = 0, length: int | None = None) -> bytes:
+        """A file's bytes, or a range of them."""
+        end = self.size(path) if length is None else min(self.size(path), start + length)
+        source = self._fs.open(self._path(path))
+        try:
+            source.seek(start)
+            return bytes(source.readNBytes(max(0, end - start)))
+        finally:
+            source.close()
+
     def upload(self, local: str, path: str) -> None:
         self._fs.copyFromLocalFile(self._path(local), self._path(path))
 
@@ -172,6 +190,57 @@ def missing_results(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataF
     return wanted.join(done.select(*key), key, "left_anti")
 
 
+class ResultStore:
+    """Results by their configuration, a struct's fields: contains, put, items, and download as one sorted table."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str]):
+        self.spark, self.path, self.key = spark, path, key
+
+    def items(self) -> DataFrame | None:
+        """All results, the latest of each configuration; None before the first."""
+        if not FileSystem(self.spark, self.path).exists(self.path):
+            return None
+        rows = self.spark.read.parquet(self.path)
+        rest = [c for c in rows.columns if c not in (*self.key, "written")]
+        return rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), "written").alias("r")).select(*self.key, "r.*")
+
+    def put(self, results: DataFrame) -> None:
+        """Add results; those of a known configuration take its place."""
+        results.withColumn("written", F.current_timestamp()).write.mode("append").parquet(self.path)
+
+    def contains(self, **key: object) -> bool:
+        rows = self.items()
+        if rows is None:
+            return False
+        for k, v in key.items():
+            rows = rows.filter(F.col(k) == F.lit(v))
+        return not rows.isEmpty()
+
+    def missing(self, wanted: DataFrame) -> DataFrame:
+        rows = self.items()
+        return wanted if rows is None else missing_results(wanted, rows, self.key)
+
+    def download(self, path: str) -> None:
+        """One file with all results, numbered `ordinal` in key order; for as many as a benchmark has."""
+        from pyspark.sql import Window
+
+        rows = self.items().withColumn("ordinal", F.row_number().over(Window.orderBy(*self.key)))
+        rows.coalesce(1).write.mode("errorifexists").parquet(path)
+
+
+def export_files(images: DataFrame, path: str, data_col: str = "data", class_col: str | None = None) -> int:
+    """Write each image's bytes to <id>.jpg under path, by class if asked, through Hadoop's file system (S20); returns how many.
+
+    Files are made on the driver, an image at a time: this is for the classes someone wants to look at."""
+    fs = FileSystem(images.sparkSession, path)
+    n = 0
+    for r in images.toLocalIterator():
+        folder = f"{path}/{r[class_col]}" if class_col else path
+        fs.write(f"{folder}/{r['image_id']}.jpg", bytes(r[data_col]))
+        n += 1
+    return n
+
+
 def save_result(df: DataFrame, path: str) -> None:
     """A result of exactly one row (S25); ValueError otherwise."""
     if len(df.take(2)) != 1:
