@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -17,6 +18,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="vantaloom-"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.executorEnv.PYTHONPATH", os.environ["PYTHONPATH"])
