@@ -210,3 +210,34 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 def op10_line_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return line_dedup(docs)
+
+
+#: Compares the least blocks themselves; within a document it joins lines with lines.
+OP10_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(own) AS line, unnest(range(len(own))) AS place FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents)),
+filled AS (
+  SELECT doc_id, place, line, len(string_split(line, ' ')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS j
+  FROM (SELECT doc_id, place, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw) WHERE line <> ''),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY j) AS upto FROM filled),
+runs AS (
+  SELECT a.doc_id, a.j AS x, min(b.j) AS y FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.upto - a.upto + a.n >= 10 GROUP BY a.doc_id, a.j
+  UNION SELECT b.doc_id, max(a.j), b.j FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.upto - a.upto + a.n >= 10 GROUP BY b.doc_id, b.j),
+blocks AS (
+  SELECT r.doc_id, x, y, string_agg(line, chr(10) ORDER BY j) AS block FROM runs r JOIN filled f ON f.doc_id = r.doc_id AND f.j BETWEEN x AND y GROUP BY 1, 2, 3),
+held AS (SELECT DISTINCT doc_id, block FROM blocks),
+firsts AS (SELECT block, min(doc_id) AS first FROM held GROUP BY block HAVING count(*) > 1),
+pairs AS (SELECT DISTINCT doc_id, first FROM held JOIN firsts USING (block) WHERE doc_id <> first),
+cut AS (
+  SELECT DISTINCT p.doc_id, p.first, f.j, f.place
+  FROM pairs p JOIN blocks b ON b.doc_id = p.doc_id JOIN held h ON h.doc_id = p.first AND h.block = b.block JOIN filled f ON f.doc_id = b.doc_id AND f.j BETWEEN b.x AND b.y),
+spans AS (
+  SELECT doc_id, first, g, min(place) AS a, max(place) AS b FROM (SELECT *, j - row_number() OVER (PARTITION BY doc_id, first ORDER BY j) AS g FROM cut) GROUP BY 1, 2, 3),
+gone AS (SELECT DISTINCT raw.doc_id, place FROM raw JOIN spans ON spans.doc_id = raw.doc_id AND place BETWEEN a AND b),
+told AS (
+  SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.place) FILTER (gone.place IS NULL) AS rest, count(gone.place) AS any_gone,
+         count(filled.place) AS n_lines, count(filled.place) FILTER (gone.place IS NOT NULL) AS removed_lines
+  FROM raw LEFT JOIN gone USING (doc_id, place) LEFT JOIN filled USING (doc_id, place) GROUP BY raw.doc_id)
+SELECT doc_id, CASE WHEN any_gone = 0 THEN text WHEN removed_lines = n_lines THEN '' ELSE rest END AS text, n_lines, removed_lines
+FROM documents JOIN told USING (doc_id)
+"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from .chat import OP6_SQL, op6_format_chats
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op3_fingerprints
-from .jaccard_join import op8_ngram_jaccard
+from .jaccard_join import OP8_SQL, op8_ngram_jaccard
 from .language_id import op9_language_id
-from .line_dedup import op10_line_dedup
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op4_mix_sources
 from .packing import op2_pack_sequences
 from .quality import op7_quality
@@ -30,4 +30,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL, "op6_format_chats": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_format_chats": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_line_dedup": OP10_SQL}
