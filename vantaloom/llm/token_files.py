@@ -10,12 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .codec import MOST_IDS, decode_block, encode_block
+from .codec import decode_block, encode_block
 from .common import partitions, table_path, text_or_empty
 from .tokens import encoder, tokenizer_path
 
 #: Ids of a block at most; a longer document has blocks of its own.
-BLOCK_IDS = MOST_IDS
+BLOCK_IDS = 1 << 21
 _BLOCKS = "part int, block int, ids_before long, doc_ids array<long>, n_tokens array<long>, whole int, data binary"
 
 
@@ -39,7 +39,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_file: str, end_id: int
             block, before = block + 1, before + len(data)
             return pa.RecordBatch.from_arrays(columns, names=["part", "block", "ids_before", "doc_ids", "n_tokens", "whole", "data"])
 
-        for b in batches:
+        for b in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             own, n = encode_all(b["text"], end_id)
             ends = np.cumsum(n)
             for i, length, end in zip(b["id"].to_pylist(), n.tolist(), ends.tolist()):

@@ -21,7 +21,7 @@ _EDGE = re.compile(r"\s")
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 _UNSURE = re.compile(r"[\s'<]|(?![^\W\d_])[^\x00-\x7f]")
 #: Words in the young half of a worker's cache, and pieces in its young table; when one is full, it becomes the old one.
-CACHE, TABLE = 400_000, 1 << 20
+CACHE, TABLE = 200_000, 1 << 20
 
 #: Byte-level models' characters for bytes: printable ones stand for themselves, the rest follow from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -97,22 +97,22 @@ class _Tail(dict):
 #: Bytes that may begin white space of more than one kind; after a space they are looked at again.
 _MAYBE_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
 #: Bytes of a piece that a table's key holds in full; longer pieces are encoded as they come.
-KEY_BYTES = 24
+KEY_BYTES = 16
 #: Bytes of text that are cut into pieces at once.
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class _Table:
     """Ids of pieces by their bytes: an open-addressing table that numpy probes for many pieces at once.
 
-    Keys are four longs: a piece's bytes (at most KEY_BYTES), and its length and place; so no two pieces share one."""
+    Keys are three longs: a piece's bytes (at most KEY_BYTES), and its length and place; so no two pieces share one."""
 
     def __init__(self, entries: int):
         self.room, self.used, self.at = entries, 0, 0
         self.shift = np.uint64(64 - (2 * entries - 1).bit_length())
         self.slots = np.full(1 << (2 * entries - 1).bit_length(), -1, np.int32)
-        self.keys, self.start, self.size = np.zeros((1024, 4), np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.keys, self.start, self.size = np.zeros((1024, 3), np.uint64), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.uint32)
 
     def find(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ class _Table:
         self.keys, self.start, self.size = (_grown(x, self.used, self.used + n) for x in (self.keys, self.start, self.size))
         self.ids = _grown(self.ids, self.at, self.at + total)
         self.keys[own], self.size[own] = keys, sizes
-        self.start[own] = self.at + np.cumsum(sizes) - sizes
+        self.start[own] = self.at + np.cumsum(sizes, dtype=np.int64) - sizes
         self.ids[self.at : self.at + total] = ids
         self.used, self.at = self.used + n, self.at + total
         slot, mask, todo = (hashes >> self.shift).astype(np.int64), len(self.slots) - 1, np.arange(n)
@@ -159,6 +159,7 @@ def _grown(x: np.ndarray, used: int, need: int) -> np.ndarray:
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of runs that begin at `starts` and are `sizes` long, one after another."""
+    sizes = np.asarray(sizes, np.int64)
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
@@ -218,12 +219,12 @@ class PieceEncoder:
         words = padded[: len(data) + KEY_BYTES].astype(np.uint64)
         for k in (1, 2, 4):  # eight bytes from each place on
             words[:-k] |= words[k:] << np.uint64(8 * k)
-        keys = np.empty((len(starts), 4), np.uint64)
-        for k in range(3):
+        keys = np.empty((len(starts), 3), np.uint64)
+        for k in range(2):
             keys[:, k] = words[starts + 8 * k] & _MASK[np.clip(lengths - 8 * k, 0, 8)]
         del words
-        keys[:, 3] = lengths.astype(np.uint64) * np.uint64(2) + opens
-        hashes = mix(mix(mix(keys[:, 0] + keys[:, 3] * np.uint64(0x9E3779B97F4A7C15)) ^ keys[:, 1]) ^ keys[:, 2])
+        keys[:, 2] = lengths.astype(np.uint64) * np.uint64(2) + opens
+        hashes = mix(mix(keys[:, 0] + keys[:, 2] * np.uint64(0x9E3779B97F4A7C15)) ^ keys[:, 1])
 
         alone = lengths > KEY_BYTES
         docs = np.searchsorted(offsets, spaces[_MAYBE_SPACE[padded[spaces + 1]]], side="right") - 1
@@ -272,7 +273,7 @@ class PieceEncoder:
         kept = self.old.find(keys[one], hashes[one])
         fresh, known = np.flatnonzero(kept < 0), np.flatnonzero(kept >= 0)
         made, raw, tails, place = [], data.tobytes(), (self.rest.parts, self.first.parts), at[one[fresh]]
-        for a, b, opens in zip(starts[place].tolist(), ends[place].tolist(), (keys[one[fresh], 3] & np.uint64(1)).tolist()):
+        for a, b, opens in zip(starts[place].tolist(), ends[place].tolist(), (keys[one[fresh], 2] & np.uint64(1)).tolist()):
             made.append(tails[opens](raw[a:b].decode()))
         new = np.empty(len(one), np.int64)
         new[fresh] = self.young.add(keys[one[fresh]], hashes[one[fresh]], np.array(list(map(len, made)), np.int64) // 4, np.frombuffer(b"".join(made), "<u4"))
