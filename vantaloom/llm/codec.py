@@ -37,7 +37,7 @@ _SURER = np.minimum(np.arange(_CONFIDENT + 1) + 1, _CONFIDENT).astype(np.int32)
 
 
 def lanes_for(n: int) -> int:
-    return max(1, min(8192, n // 64))
+    return max(1, min(8192, n // 256))
 
 
 def _kinds(n: np.ndarray, distinct: np.ndarray) -> np.ndarray:
