@@ -294,7 +294,7 @@ def vector_distances(s, d):
     return _t(s, d, "embeddings").select("vec_id", r6(V.squared_distance(a, b)).alias("l2"), r6(I.weighted_distance(a, b, "l1")).alias("l1"), r6(I.weighted_distance(a, b, "dot")).alias("dot"))
 
 
-@query("SELECT vec_id, i AS place, round(CASE WHEN i <= 64 THEN embedding[i]::DOUBLE / n ELSE 0 END, 6) AS x FROM (SELECT *, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS n, unnest(range(1, 67)) AS i FROM embeddings)")
+@query("SELECT vec_id, place, CASE WHEN abs(x) < 0.0000005 THEN 0.0::DOUBLE ELSE round(x, 6) END AS x FROM (SELECT vec_id, i AS place, CASE WHEN i <= 64 THEN embedding[i]::DOUBLE / n ELSE 0 END AS x FROM (SELECT *, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS n, unnest(range(1, 67)) AS i FROM embeddings))")
 def resized_vectors(s, d):
     v = V.resized(V.normalised(F.col("embedding"), "l1"), 66, F.lit(0.0))
     return _t(s, d, "embeddings").select("vec_id", F.posexplode(v).alias("p", "x")).select("vec_id", (F.col("p") + 1).cast("long").alias("place"), r6("x").alias("x"))
