@@ -23,7 +23,7 @@ LEAST = 1e-7
 #: Rounds of expectation maximisation, and pseudo-counts drawn from all languages' mean.
 ROUNDS, SMOOTHING = 3, 200.0
 #: Word scores kept in the young half of a worker's cache.
-CACHE = 300_000
+CACHE = 100_000
 #: Characters over which plain sums don't run: longer words go stretch by stretch.
 STRETCH = 24
 #: Characters that are learned from together; all of a longer word counts, but no piece over these bounds.
@@ -344,8 +344,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_out: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 languages, scores = model.scores(part.column(kept.index(text_col)).cast(pa.string()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*kept, lang_out, score_out])
 
