@@ -15,6 +15,7 @@ from vantaloom.operators import candidates as C
 from vantaloom.operators import evaluate as E
 from vantaloom.operators import graph as GR
 from vantaloom.operators import index as I
+from vantaloom.operators import neighbours as N
 from vantaloom.operators import relational as R
 from vantaloom.plans.catalogue import QUERIES, SQL
 from vantaloom.sources import tables as T
@@ -220,3 +221,12 @@ def test_replication_cap_of_two_sides(spark, on_tables):
     lines = [(p, s, float(p * 7 % 11 + s * 5 % 13)) for p in (1, 2, 3, 4, 1_000_001, 1_000_002) for s in (1, 2, 3, 4, 5)]
     ours, theirs = on_tables("replication_cap", lineitem=spark.createDataFrame(lines + [(None, 6, 99.0)], "l_partkey long, l_suppkey long, l_extendedprice double"))
     assert ours == theirs and len(ours) > 5
+
+
+def test_radius_join_broadcasts_neither_side(spark):
+    points = spark.range(40).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 3 * 2).alias("y"))
+    pairs = N.radius_join(points, points, 2.0, same=True)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    at = {i: (i % 7, i % 3 * 2) for i in range(40)}
+    near = [(i, j) for i in at for j in at if i < j and (at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2 <= 4]
+    assert sorted((r["a_id"], r["b_id"]) for r in pairs.collect()) == near
