@@ -230,3 +230,23 @@ def test_radius_join_broadcasts_neither_side(spark):
     at = {i: (i % 7, i % 3 * 2) for i in range(40)}
     near = [(i, j) for i in at for j in at if i < j and (at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2 <= 4]
     assert sorted((r["a_id"], r["b_id"]) for r in pairs.collect()) == near
+
+
+def test_spanning_tree_of_many_rounds(spark):
+    """Kruskal's edges; tables that pass from round to round carry no constraints, whose number would multiply."""
+    r = random.Random(11)
+    edges = {tuple(sorted(r.sample(range(60), 2))): float(r.randrange(9)) for _ in range(130)}
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double")
+    tree = GR.minimum_spanning_tree(e.select(F.col("src").alias("id")), e.filter("src < 99"))
+    root, kept = {v: v for v in range(60)}, []
+    for w, a, b in sorted((w, a, b) for (a, b), w in edges.items()):
+        ends = [a, b]
+        for i in (0, 1):
+            while root[ends[i]] != ends[i]:
+                ends[i] = root[ends[i]]
+        if ends[0] != ends[1]:
+            root[ends[0]] = ends[1]
+            kept.append((a, b, w))
+    assert sorted(tuple(x) for x in tree.collect()) == sorted(kept)
+    assert GR.stored(e.filter("src < 99"))._jdf.queryExecution().analyzed().constraints().size() == 0
+    assert tree._jdf.queryExecution().analyzed().constraints().size() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -22,6 +23,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read back. A checkpoint passes on the constraints and size estimates of its plan, and those
+    inferred from rounds of joins of such tables multiply until planning takes longer than the work; a stored table has none."""
+    cut_lineage(df.sparkSession.range(1))
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
@@ -207,23 +217,23 @@ def minimum_spanning_tree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each component hooks on to the other end of its least edge; of two that choose the same edge the smaller is the root,
     and pointer jumping brings every component to its root."""
-    left = cut_lineage(edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("weight", "src", "dst").alias("e")))
+    left = stored(edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("weight", "src", "dst").alias("e")))
     tree = None
     while not left.isEmpty():
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("to")), F.struct(F.col("b").alias("c"), F.col("a").alias("to")))).alias("x"), "e").select("x.c", "x.to", "e")
-        best = cut_lineage(ends.groupBy("c").agg(F.min_by("to", "e").alias("to"), F.min("e").alias("e")))
+        best = stored(ends.groupBy("c").agg(F.min_by("to", "e").alias("to"), F.min("e").alias("e")))
         chosen = best.select("e.src", "e.dst", "e.weight").distinct()
-        tree = cut_lineage(chosen if tree is None else tree.unionByName(chosen))
+        tree = stored(chosen if tree is None else tree.unionByName(chosen))
         back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
         hooks = best.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
         while True:
-            hooks = cut_lineage(hooks.join(hooks.select(F.col("c").alias("to"), F.col("to").alias("far")), "to").select("c", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            hooks = stored(hooks.join(hooks.select(F.col("c").alias("to"), F.col("to").alias("far")), "to").select("c", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
             if hooks.filter("moved").isEmpty():
                 break
             hooks = hooks.drop("moved")
         root = hooks.select("c", "to")
         left = left.join(root.select(F.col("c").alias("a"), F.col("to").alias("ra")), "a").join(root.select(F.col("c").alias("b"), F.col("to").alias("rb")), "b")
-        left = cut_lineage(left.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "e"))
+        left = stored(left.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "e"))
     return tree if tree is not None else edges.limit(0).select("src", "dst", "weight")
 
 
