@@ -250,3 +250,17 @@ def test_spanning_tree_of_many_rounds(spark):
     assert sorted(tuple(x) for x in tree.collect()) == sorted(kept)
     assert GR.stored(e.filter("src < 99"))._jdf.queryExecution().analyzed().constraints().size() == 0
     assert tree._jdf.queryExecution().analyzed().constraints().size() == 0
+
+
+def test_lsh_neighbours_are_the_nearest_of_all_pairs(spark):
+    r = random.Random(3)
+    at = {i: [r.gauss(0, 1) for _ in range(6)] for i in range(60)}
+    df = spark.createDataFrame([(i, v) for i, v in at.items()] + [(99, None)], "vec_id long, embedding array<double>")
+    near = {i: [] for i in at}
+    for a, b in N.lsh_candidates(df, tables=4, bits=3).collect():
+        dist = sum((x - y) ** 2 for x, y in zip(at[a], at[b]))
+        near[a].append((dist, b))
+        near[b].append((dist, a))
+    for block in (5, 4096):
+        got = N.lsh_neighbours(df, 3, tables=4, bits=3, block=block).collect()
+        assert sorted((x["query_id"], x["rank"], x["base_id"]) for x in got) == sorted((i, n + 1, b) for i in at for n, (_, b) in enumerate(sorted(near[i])[:3]))

@@ -6,6 +6,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +94,8 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, id_col: str = "id", s
     return (out.filter("a_id < b_id") if same else out).select("a_id", "b_id", "dist2")
 
 
-def lsh_candidates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, bits: int = 12, seed: int = 7) -> DataFrame:
-    """Distinct candidate pairs (a_id, b_id) that share a random-hyperplane bucket in any table; measure recall (A20) before use."""
+def _buckets(df: DataFrame, id_col: str, vector_col: str, tables: int, bits: int, seed: int) -> DataFrame:
+    """(id, v, codes): each vector's bucket in each table."""
     size = len(df.select(vector_col).filter(F.col(vector_col).isNotNull()).first()[0])
     planes = np.random.default_rng(seed).standard_normal((tables * bits, size))
 
@@ -102,14 +103,40 @@ def lsh_candidates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         for b in batches:
             v = np.array([x.as_py() for x in b["v"]], float)
             signs = (v @ planes.T > 0).reshape(len(v), tables, bits) @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(signs.astype(np.int64).tolist(), pa.list_(pa.int64()))], names=["id", "codes"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(signs.astype(np.int64).tolist(), pa.list_(pa.int64()))], names=["id", "v", "codes"])
 
     rows = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    rows = rows.mapInArrow(code, "id long, codes array<long>").select("id", F.posexplode("codes").alias("t", "code"))
+    return rows.mapInArrow(code, f"id long, v {dict(rows.dtypes)['v']}, codes array<long>")
+
+
+def lsh_candidates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, bits: int = 12, seed: int = 7) -> DataFrame:
+    """Distinct candidate pairs (a_id, b_id) that share a random-hyperplane bucket in any table; measure recall (A20) before use. The
+    pairs grow with the square of a bucket: where neighbours are wanted, lsh_neighbours stores none."""
+    rows = _buckets(df, id_col, vector_col, tables, bits, seed).select("id", F.posexplode("codes").alias("t", "code"))
     other = rows.select(F.col("id").alias("b_id"), "t", "code")
     return rows.withColumnRenamed("id", "a_id").join(other, ["t", "code"]).filter("a_id < b_id").select("a_id", "b_id").distinct()
 
 
+def lsh_neighbours(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, bits: int = 12, seed: int = 7, block: int = 2 * BLOCK) -> DataFrame:
+    """(query_id, base_id, dist, rank): each vector's k nearest among all that share a bucket with it, the pairs of lsh_candidates.
+
+    Buckets are searched where they lie, and pass on k rows a vector and table; one of over `block` vectors is cut into parts, and each
+    pair of parts is a task's. A row moves once a table and part."""
+    rows = _buckets(df, id_col, vector_col, tables, bits, seed).filter("id IS NOT NULL").select("id", "v", F.posexplode("codes").alias("t", "code"))
+    sizes = rows.groupBy("t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).filter("parts > 1")
+    rows = rows.join(sizes, ["t", "code"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("id", "v", "t", "code", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    search = _nearest(k, True)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = (table.filter(pc.equal(table["part"], part)) for part in key[2:])
+        return search(low, low) if key[2] == key[3] else pa.concat_tables([search(low, high), search(high, low)])
+
+    near = rows.groupBy("t", "code", "low", "high").applyInArrow(run, "query_id long, base_id long, dist double")
+    return merge_neighbours(near.groupBy("query_id", "base_id").agg(F.min("dist").alias("dist")), k)
+
+
 def quantise(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 1) -> DataFrame:
     """(query_id, base_id, dist, rank): each vector's nearest words of a vocabulary."""
     words = centroids.select(F.col("word").alias(id_col), F.col("centroid").alias(vector_col))
