@@ -264,3 +264,17 @@ def test_lsh_neighbours_are_the_nearest_of_all_pairs(spark):
     for block in (5, 4096):
         got = N.lsh_neighbours(df, 3, tables=4, bits=3, block=block).collect()
         assert sorted((x["query_id"], x["rank"], x["base_id"]) for x in got) == sorted((i, n + 1, b) for i in at for n, (_, b) in enumerate(sorted(near[i])[:3]))
+
+
+def test_vector_index_probes_reach_recall(spark, on_tables):
+    """Vectors without clusters: ten of sixteen cells hold under 0.97 of the nearest."""
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(40)]) for i in range(600)], "vec_id long, embedding array<double>").coalesce(2)
+    truth = N.knn_join(df, df, 5, same=True).cache()
+    index = I.VectorIndex.create(df, cells=16)
+    recall = lambda probes: float(N.retrieval_precision(index.query(df, 5, probes=probes, same=True), truth, 5).first()[0])
+    fewest = index.probes_for(df, truth, 0.97)
+    assert recall(10) < 0.97 <= recall(fewest) and recall(fewest - 1) < 0.97
+    assert index.probes_for(df, truth, 1.0) <= 16
+    ours, theirs = on_tables("vector_index_recall", embeddings=df)
+    assert ours == theirs == [(600, True)]

@@ -82,8 +82,8 @@ class VectorIndex:
     """Vectors dealt to cells around centres: a query looks into its nearest `probes` cells only.
 
     The centres are fitted on at most `sample` vectors, which is what the driver holds; every vector is indexed.
-    Measure recall with retrieval_precision against knn_join, and raise `probes` to reach what is wanted; with all
-    cells probed the search is exact."""
+    Measure recall with retrieval_precision against knn_join, and let probes_for raise `probes` to reach what is wanted; with
+    all cells probed the search is exact."""
 
     def __init__(self, cells: DataFrame, centres: np.ndarray):
         self.cells, self.centres = cells, centres
@@ -116,6 +116,27 @@ class VectorIndex:
         centres = np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").collect()], float)  # as many as cells
         return VectorIndex(spark.read.parquet(f"{path}/cells").select("id", "v", F.col("cell").cast("int").alias("cell")), centres)
 
+    def probes_for(self, queries: DataFrame, truth: DataFrame, recall: float, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+        """The fewest probes whose cells hold the share `recall` of true neighbours (query_id, base_id), or all cells. The driver gets a
+        number a cell."""
+        cells = truth.join(self.cells.select(F.col("id").alias("base_id"), "cell"), "base_id").groupBy(F.col("query_id").alias("id")).agg(F.collect_list("cell").alias("cells"))
+        rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("v IS NOT NULL").join(cells, "id").select("v", "cells")
+        centres = self.centres
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    order = np.argsort(_distances(np.array(b["v"].to_pylist(), float), centres), axis=1, kind="stable")
+                    places = np.argsort(order, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(p) for own, at in zip(places, b["cells"].to_pylist()) for p in own[at]], pa.int32())], names=["place"])
+
+        wanted, held = recall * truth.count(), 0
+        for place, n in sorted(map(tuple, rows.mapInArrow(run, "place int").groupBy("place").count().collect())):
+            held += n
+            if held >= wanted:
+                return place + 1
+        return len(centres)
+
     def query(self, queries: DataFrame, k: int, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", same: bool = False, block: int = 2048) -> DataFrame:
         """(query_id, base_id, dist, rank): the k nearest of the probed cells, by squared L2, ties by id. A cell is cut into blocks of
         `block` vectors, so a crowded one is no single task."""
